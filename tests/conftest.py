@@ -1,6 +1,15 @@
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
+# Python workers import the package and the test modules by this path.
+TESTS = Path(__file__).resolve().parent
+os.environ["PYTHONPATH"] = os.pathsep.join(
+    [str(TESTS.parent), str(TESTS), *filter(None, [os.environ.get("PYTHONPATH")])]
+)
+
 
 @pytest.fixture(scope="session")
 def spark():
