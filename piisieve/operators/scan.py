@@ -61,7 +61,7 @@ def with_findings(
 def flatten_findings(df: DataFrame, keep: Sequence[str], findings_col: str = "findings") -> DataFrame:
     """One row per finding with the `keep` columns in front."""
     # inline_outer, because inline would add a size filter that the optimizer pushes under the
-    # projections above, where it would run every pattern a second time.
+    # projections below, where it would run every pattern a second time.
     names = [field.name for field in FINDING_STRUCT.fields]
     return df.select(*keep, F.inline_outer(findings_col).alias(*names)).where("pii_type IS NOT NULL")
 

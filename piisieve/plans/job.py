@@ -36,9 +36,8 @@ def scan_documents(
 
 def findings_of(scanned: DataFrame) -> DataFrame:
     """The flat findings table of scanned documents."""
-    return flatten_findings(
-        scanned.where(F.size("findings") > 0), ["doc_id", "file_path"]
-    ).withColumn("timestamp_utc", F.current_timestamp())
+    found = flatten_findings(scanned, ["doc_id", "file_path"])
+    return found.withColumn("timestamp_utc", F.current_timestamp())
 
 
 def scan_files(
