@@ -16,45 +16,52 @@ def whole_matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def locate(text: Column, pattern: str, wholes: Column, group: int = 0) -> Column:
-    """`array<struct<value, start>>` for the matches in `wholes`.
+def gap_lengths(text: Column, pattern: str, wholes: Column) -> Column:
+    """Length of the text in front of each match, counted from the match before it.
 
-    The text is split by the same pattern, so the pieces between the matches are known and the offsets
-    follow by adding up lengths; searching for the value would find an equal string that is no match.
-    With `group` = 1 the value is that group, which must end where the match ends.
+    The text is split by the pattern that found the matches. Searching for the values instead would
+    find equal strings that are no matches.
     """
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(wholes))
+    return F.transform(gaps, F.length)
 
-    def with_offsets(lead: Column, before: Column) -> Column:
-        def at(i: Column) -> Column:
-            return F.get(before, i) + F.get(lead, i)
-
-        if group == 0:
-            return F.transform(
-                wholes, lambda whole, i: F.struct(whole.alias("value"), at(i).alias("start"))
-            )
-        return F.transform(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(group)),
-            lambda value, i: F.struct(
-                value.alias("value"),
-                (at(i) + F.length(F.get(wholes, i)) - F.length(value)).alias("start"),
-            ),
-        )
 
-    return let(
-        F.transform(gaps, F.length),
-        lambda lead: let(
-            exclusive_sums(F.zip_with(lead, wholes, lambda gap, whole: gap + F.length(whole))),
-            lambda before: with_offsets(lead, before),
+def start_offsets(gaps: Column, wholes: Column) -> Column:
+    """0-based offset of each match, in characters."""
+    ends_of_earlier = exclusive_sums(F.zip_with(gaps, wholes, lambda gap, whole: gap + F.length(whole)))
+    return F.zip_with(ends_of_earlier, gaps, lambda end, gap: end + gap)
+
+
+def hits_at(text: Column, pattern: str, wholes: Column, starts: Column, group: int = 0) -> Column:
+    """`array<struct<value, start>>` of the matches.
+
+    With `group` = 1 the value is that group, which must end where the match ends.
+    """
+    if group == 0:
+        return F.zip_with(
+            wholes, starts, lambda whole, start: F.struct(whole.alias("value"), start.alias("start"))
+        )
+    return F.transform(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)),
+        lambda value, i: F.struct(
+            value.alias("value"),
+            (F.get(starts, i) + F.length(F.get(wholes, i)) - F.length(value)).alias("start"),
         ),
     )
 
 
 def find_matches(text: Column, pattern: str, group: int = 0) -> Column:
     """Matches with offsets in one expression, for use outside a scan."""
+
+    def located(wholes: Column) -> Column:
+        return let(
+            start_offsets(gap_lengths(text, pattern, wholes), wholes),
+            lambda starts: hits_at(text, pattern, wholes, starts, group),
+        )
+
     return let(
         whole_matches(text, pattern),
-        lambda wholes: F.when(F.size(wholes) > 0, locate(text, pattern, wholes, group)).otherwise(
+        lambda wholes: F.when(F.size(wholes) > 0, located(wholes)).otherwise(
             F.array().cast("array<struct<value:string,start:int>>")
         ),
     )

@@ -76,11 +76,12 @@ def _phone() -> str:
 PHONE = _phone()
 
 # Group 1 is the address. Within a run of word characters only the first possible start can succeed:
-# a later one has fewer roads and numbers to its right. So a run is entered at its start (or where the
-# last match ended), its first possible start is taken, the first road after it, and then the first
-# number with 號.
+# a later one has fewer roads and numbers to its right. So a run is entered at its start if it has a
+# number with 號 at all (or where the last match ended), its first possible start is taken, the first
+# road after it, and then the first number with 號.
 ADDRESS = (
-    rf"(?:(?:(?<![{WORD}])|\G)[{WORD}&&[^{ADDRESS_FIRST}]]*+(?=[{ADDRESS_FIRST}])|(?=\|))"
+    rf"(?:(?:(?<![{WORD}])(?=[{WORD}]*?{DIGIT}號)|\G)"
+    rf"[{WORD}&&[^{ADDRESS_FIRST}]]*+(?=[{ADDRESS_FIRST}])|(?=\|))"
     rf"([{ADDRESS_FIRST}][{WORD}][{WORD}&&[^{ADDRESS_ROAD}]]*+[{ADDRESS_ROAD}]"
     rf"[{WORD}]*?{DIGIT}號{ADDRESS_TAIL})"
 )

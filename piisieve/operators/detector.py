@@ -1,7 +1,8 @@
 """What a detector is: a table-valued operator from a text to an array of findings.
 
 A scan evaluates a detector in two steps, each in its own projection, so that nothing costly is worked
-out twice: `candidates` looks through the text, `findings` builds rows from what was found.
+out twice: `candidates` looks through the text, `findings` builds rows from what was found. In between
+the scan works out the offsets of all pattern detectors' matches with one expression.
 """
 
 import logging
@@ -13,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
-from ..functions.matches import context_window, locate, location_label, whole_matches
+from ..functions.matches import context_window, hits_at, location_label, whole_matches
 from ..functions.scoring import keyword_score
 from ..schema import FINDING_STRUCT, FINDINGS_TYPE
 
@@ -55,8 +56,14 @@ class Detector:
         """An array that is empty or NULL where the text holds nothing for this detector."""
         raise NotImplementedError
 
-    def findings(self, text: Column, candidates: Column, blocks: Column | None) -> Column:
-        """`array<finding>` from the candidates."""
+    def findings(
+        self, text: Column, candidates: Column, starts: Column | None, blocks: Column
+    ) -> Column:
+        """`array<finding>` from the candidates.
+
+        `starts` has the offset of each candidate of a detector with a `pattern`; `blocks` is the text
+        in pieces where it is long, see `context_window`.
+        """
         raise NotImplementedError
 
 
@@ -96,15 +103,17 @@ class RuleDetector(Detector):
             matches = F.when(guard(text), matches)
         return matches
 
-    def findings(self, text: Column, candidates: Column, blocks: Column | None) -> Column:
-        hits = locate(text, self.pattern, candidates, self.group)
+    def findings(
+        self, text: Column, candidates: Column, starts: Column | None, blocks: Column
+    ) -> Column:
+        hits = hits_at(text, self.pattern, candidates, starts, self.group)
         if self.validator is not None:
             validator = self.validator
             hits = F.filter(hits, lambda hit: validator(hit["value"]))
         rows = F.transform(hits, lambda hit: self._finding(text, hit, blocks))
         return F.when(F.size(candidates) > 0, rows).otherwise(no_findings())
 
-    def _finding(self, text: Column, hit: Column, blocks: Column | None) -> Column:
+    def _finding(self, text: Column, hit: Column, blocks: Column) -> Column:
         value, start = hit["value"], hit["start"]
 
         def row(context: Column) -> Column:
@@ -164,7 +173,9 @@ class PythonDetector(Detector):
             text = F.when(guard(text), text)
         return run(text)
 
-    def findings(self, text: Column, candidates: Column, blocks: Column | None) -> Column:
+    def findings(
+        self, text: Column, candidates: Column, starts: Column | None, blocks: Column
+    ) -> Column:
         def row(raw: Column) -> Column:
             start = raw["start_pos"]
             around = context_window(

@@ -151,7 +151,9 @@ class NameDetector(Detector):
 
         return predict(F.when(is_not_blank(text), chunk_text(text)))
 
-    def findings(self, text: Column, candidates: Column, blocks: Column | None) -> Column:
+    def findings(
+        self, text: Column, candidates: Column, starts: Column | None, blocks: Column
+    ) -> Column:
         def row(e: Column) -> Column:
             return finding(
                 self.pii_type,

@@ -5,12 +5,13 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.matches import LONG_TEXT, text_blocks
+from ..functions.matches import LONG_TEXT, gap_lengths, start_offsets, text_blocks
 from ..schema import FINDING_STRUCT
-from .detector import Detector, no_findings
+from .detector import Detector, RuleDetector, no_findings
 from .registry import default_registry
 
 _CANDIDATES = "_candidates_"
+_STARTS = "_starts"
 _BLOCKS = "_text_blocks"
 
 
@@ -25,6 +26,23 @@ def _chosen(detectors: Iterable[str | Detector] | None) -> list[Detector]:
     return list(chosen.values())
 
 
+def _all_starts(text: Column, detectors: Sequence[tuple[RuleDetector, Column]]) -> Column:
+    """For each detector the offsets of its matches, NULL where it has none."""
+    if not detectors:
+        return F.lit(None)
+    measures = [
+        F.when(
+            F.size(wholes) > 0,
+            F.struct(gap_lengths(text, d.pattern, wholes).alias("gaps"), wholes.alias("wholes")),
+        )
+        for d, wholes in detectors
+    ]
+    return F.transform(
+        F.array(*measures),
+        lambda m: F.when(m.isNotNull(), start_offsets(m["gaps"], m["wholes"])),
+    )
+
+
 def with_findings(
     df: DataFrame,
     text_col: str = "text",
@@ -33,8 +51,10 @@ def with_findings(
 ) -> DataFrame:
     """Add the array of all findings in each row's text.
 
-    Every detector reads the text in the same pass and nothing is shuffled. The three projections stay
-    apart in the plan because each column of one is used several times in the next.
+    Every detector reads the text in the same pass and nothing is shuffled. The projections stay apart
+    in the plan because each column of one is used several times in the next. The last step is an
+    explode of one element, which gives one row per row: the optimizer moves a condition on `findings`
+    no further down than that, where it would otherwise run every pattern a second time.
     """
     chosen = _chosen(detectors)
     text = F.col(text_col)
@@ -43,27 +63,33 @@ def with_findings(
 
     columns = [F.col(f"{_CANDIDATES}{i}") for i in range(len(chosen))]
     searched = df.select(
-        "*",
-        *[d.candidates(text).alias(f"{_CANDIDATES}{i}") for i, d in enumerate(chosen)],
+        "*", *[d.candidates(text).alias(f"{_CANDIDATES}{i}") for i, d in enumerate(chosen)]
     )
+
+    by_pattern = [(d, c) for d, c in zip(chosen, columns, strict=True) if isinstance(d, RuleDetector)]
     any_found = F.lit(False)
     for column in columns:
         any_found = any_found | (F.coalesce(F.size(column), F.lit(0)) > 0)
-    cut = searched.withColumn(
-        _BLOCKS, F.when(any_found & (F.length(text) > LONG_TEXT), text_blocks(text))
+    measured = searched.withColumns(
+        {
+            _STARTS: _all_starts(text, by_pattern),
+            _BLOCKS: F.when(any_found & (F.length(text) > LONG_TEXT), text_blocks(text)),
+        }
     )
+
+    starts = {d.name: F.get(F.col(_STARTS), F.lit(i)) for i, (d, _) in enumerate(by_pattern)}
     parts: list[Column] = [
-        d.findings(text, column, F.col(_BLOCKS)) for d, column in zip(chosen, columns, strict=True)
+        d.findings(text, column, starts.get(d.name), F.col(_BLOCKS))
+        for d, column in zip(chosen, columns, strict=True)
     ]
-    return cut.select(*[F.col(c) for c in df.columns], F.concat(*parts).alias(output_col))
+    findings = F.explode(F.array(F.concat(*parts))).alias(output_col)
+    return measured.select(*[F.col(c) for c in df.columns], findings)
 
 
 def flatten_findings(df: DataFrame, keep: Sequence[str], findings_col: str = "findings") -> DataFrame:
     """One row per finding with the `keep` columns in front."""
-    # inline_outer, because inline would add a size filter that the optimizer pushes under the
-    # projections below, where it would run every pattern a second time.
     names = [field.name for field in FINDING_STRUCT.fields]
-    return df.select(*keep, F.inline_outer(findings_col).alias(*names)).where("pii_type IS NOT NULL")
+    return df.select(*keep, F.inline(findings_col).alias(*names))
 
 
 def scan(

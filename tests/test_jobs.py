@@ -86,6 +86,15 @@ def test_scan_runs_each_pattern_once_and_never_shuffles(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
+def test_condition_on_findings_runs_nothing_twice(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    documents = df.select(F.col("doc_id").cast("string"), F.lit("p").alias("file_path"), "text")
+    out = scan_documents(documents).where(F.size("findings") > 0).select("doc_id", "findings")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 7 + 1 + 2
+    assert out.count() == scan(df, keep=["doc_id"]).select("doc_id").distinct().count()
+
+
 def test_scan_of_a_folder(spark, folder, tmp_path):
     out = str(tmp_path / "out")
     outcome = scan_files(spark, folder, out)
