@@ -10,26 +10,35 @@ from .arrays import exclusive_sums, let
 LONG_TEXT = 65536
 TEXT_BLOCK = 1024
 
+# Up to this many matches of a text are located by plain search.
+FEW_MATCHES = 8
+
 
 def whole_matches(text: Column, pattern: str) -> Column:
     """All non-overlapping leftmost matches of `pattern`, in order."""
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def gap_lengths(text: Column, pattern: str, wholes: Column) -> Column:
-    """Length of the text in front of each match, counted from the match before it.
+def start_offsets(text: Column, pattern: Column, wholes: Column) -> Column:
+    """0-based offset of each match in `wholes`, in characters.
 
-    The text is split by the pattern that found the matches. Searching for the values instead would
-    find equal strings that are no matches.
+    A few matches, each of which occurs once in the text as a string, are found by plain search. Else
+    the text is split by the pattern that found the matches, and the offsets follow by adding up the
+    lengths of matches and pieces; a search could stop at an equal string that is no match.
     """
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(wholes))
-    return F.transform(gaps, F.length)
+    each_once = F.forall(
+        wholes, lambda w: F.position(w, text, F.position(w, text) + 1) == 0
+    )
+    searched = F.transform(wholes, lambda w: F.position(w, text) - 1)
 
+    def added_up(gaps: Column) -> Column:
+        before = exclusive_sums(F.zip_with(gaps, wholes, lambda gap, w: gap + F.length(w)))
+        return F.zip_with(before, gaps, lambda n, gap: n + gap)
 
-def start_offsets(gaps: Column, wholes: Column) -> Column:
-    """0-based offset of each match, in characters."""
-    ends_of_earlier = exclusive_sums(F.zip_with(gaps, wholes, lambda gap, whole: gap + F.length(whole)))
-    return F.zip_with(ends_of_earlier, gaps, lambda end, gap: end + gap)
+    pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(wholes))
+    return F.when((F.size(wholes) <= FEW_MATCHES) & each_once, searched).otherwise(
+        let(F.transform(pieces, F.length), added_up)
+    )
 
 
 def hits_at(text: Column, pattern: str, wholes: Column, starts: Column, group: int = 0) -> Column:
@@ -55,7 +64,7 @@ def find_matches(text: Column, pattern: str, group: int = 0) -> Column:
 
     def located(wholes: Column) -> Column:
         return let(
-            start_offsets(gap_lengths(text, pattern, wholes), wholes),
+            start_offsets(text, F.lit(pattern), wholes),
             lambda starts: hits_at(text, pattern, wholes, starts, group),
         )
 

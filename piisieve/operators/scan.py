@@ -5,7 +5,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.matches import LONG_TEXT, gap_lengths, start_offsets, text_blocks
+from ..functions.matches import LONG_TEXT, start_offsets, text_blocks
 from ..schema import FINDING_STRUCT
 from .detector import Detector, RuleDetector, no_findings
 from .registry import default_registry
@@ -30,16 +30,14 @@ def _all_starts(text: Column, detectors: Sequence[tuple[RuleDetector, Column]])
     """For each detector the offsets of its matches, NULL where it has none."""
     if not detectors:
         return F.lit(None)
-    measures = [
-        F.when(
-            F.size(wholes) > 0,
-            F.struct(gap_lengths(text, d.pattern, wholes).alias("gaps"), wholes.alias("wholes")),
-        )
-        for d, wholes in detectors
+    matched = [
+        F.struct(wholes.alias("wholes"), F.lit(d.pattern).alias("pattern")) for d, wholes in detectors
     ]
     return F.transform(
-        F.array(*measures),
-        lambda m: F.when(m.isNotNull(), start_offsets(m["gaps"], m["wholes"])),
+        F.array(*matched),
+        lambda m: F.when(
+            F.size(m["wholes"]) > 0, start_offsets(text, m["pattern"], m["wholes"])
+        ),
     )
 
 
