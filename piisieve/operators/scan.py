@@ -16,11 +16,14 @@ _BLOCKS = "_text_blocks"
 
 
 def _chosen(detectors: Iterable[str | Detector] | None) -> list[Detector]:
-    """Names are looked up among the built-in detectors; records are taken as they are."""
-    chosen: dict[str, Detector] = {}
-    given = list(detectors) if detectors is not None else list(default_registry().all())
+    """Names are looked up among the built-in detectors; records are taken as they are.
+
+    Nothing asked for means all built-in ones; only unknown names mean none.
+    """
     registry = default_registry()
-    for item in given:
+    asked = list(detectors or registry.all())
+    chosen: dict[str, Detector] = {}
+    for item in asked:
         for detector in registry.select([item]) if isinstance(item, str) else [item]:
             chosen.setdefault(detector.name.lower(), detector)
     return list(chosen.values())

@@ -46,6 +46,7 @@ def test_unselected_detectors_are_not_in_the_plan(spark):
     assert [r.pii_type for r in out.collect()] == ["EMAIL"]
     assert "luhn" not in out._jdf.queryExecution().executedPlan().toString().lower()
     assert scan(df, keep=["doc_id"], detectors=["nope"]).count() == 0
+    assert scan(df, keep=["doc_id"], detectors=[]).count() == 2
 
 
 def test_own_rule_detector(spark):

@@ -12,7 +12,7 @@ from piisieve.functions.validators import ascii_digits, luhn_valid, national_id_
 from piisieve.operators.builtin import BUILTIN
 from piisieve import scan
 
-# The patterns as Python reads them. Python's \w, \d, \s and \b are Unicode-aware already.
+# The patterns as Python reads them. Python's \w, \d, \s and \b are Unicode-aware already.
 SEP = r"[-. –—\s]?"
 LANDLINE = "|".join(
     rf"(?:\+886{SEP}(?:{a})|[\(（]0(?:{a})[\)）]|0(?:{a})){SEP}\d{{{n}}}{SEP}\d{{{m}}}"
