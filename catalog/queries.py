@@ -27,7 +27,7 @@ from piisieve.operators.builtin import BUILTIN
 from piisieve.operators.names import (
     CHUNK_STEP, chunk_text, clean_entities, locate_entities, merge_touching,
 )
-from piisieve.plans.report import count_failed, count_findings
+from piisieve.plans.report import count_failed, count_findings, scan_totals
 from piisieve.schema import status_label, validation_label
 from piisieve.sources.extract import extension, route_by_extension
 from piisieve.sources.tables import spread
@@ -456,6 +456,12 @@ def only_completed_files(spark, sf_dir):
     return scanned.select("doc_id", "status", F.size("findings").alias("findings"))
 
 
+def report_gate(spark, sf_dir):
+    """Totals over files of every kind, some of which could not be read, and whether a report is due."""
+    documents = extract_text(_with_broken_reads(_mixed_files(spark, sf_dir)))
+    return scan_totals(scan_documents(documents))
+
+
 WORD_NS = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 SHEET_NS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 RELATIONS_NS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -595,6 +601,7 @@ QUERIES: dict[str, Query] = {
     "failed_files": failed_files,
     "files_scanned": files_scanned,
     "only_completed_files": only_completed_files,
+    "report_gate": report_gate,
     "word_files": office_query(".docx", word_file),
     "workbook_files": office_query(".xlsx", workbook_file),
     "folder_listing": folder_listing,

@@ -12,7 +12,7 @@ from ..operators.registry import default_registry
 from ..operators.scan import flatten_findings, with_findings
 from ..sources.extract import extract_text
 from ..sources.listing import read_files
-from .report import default_report_name, report_is_due, write_report
+from .report import default_report_name, scan_totals, write_report
 
 log = logging.getLogger(__name__)
 
@@ -73,16 +73,12 @@ def scan_files(
     scanned.write.mode("overwrite" if overwrite else "errorifexists").parquet(documents_path)
 
     written = spark.read.schema(scanned.schema).parquet(documents_path)
-    totals = written.agg(
-        F.count("*").alias("files"),
-        F.coalesce(F.sum(F.size("findings")), F.lit(0)).alias("findings"),
-        F.count_if("failed").alias("failed"),
-    ).first()
+    totals = scan_totals(written).first()
     if totals.files == 0:
         log.warning("no files under %s", path)
-    due = totals.files > 0 and report_is_due(totals.findings, totals.failed)
+    due = totals.files > 0 and totals.report_due
     if due:
         write_report(findings_of(written), report_path, file_format, overwrite, partition_by)
     return ScanOutcome(
-        documents_path, report_path if due else None, totals.findings, totals.failed
+        documents_path, report_path if due else None, totals.findings, totals.failed_files
     )

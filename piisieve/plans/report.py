@@ -54,6 +54,16 @@ def count_failed(documents: DataFrame) -> DataFrame:
     return documents.agg(F.count_if("failed").alias("failed_files"))
 
 
-def report_is_due(findings: int, failed_files: int) -> bool:
-    """A report is written unless nothing was found while files failed."""
-    return findings > 0 or failed_files == 0
+def report_is_due(findings, failed_files):
+    """A report is written unless nothing was found while files failed. Takes numbers or columns."""
+    return (findings > 0) | (failed_files == 0)
+
+
+def scan_totals(scanned: DataFrame) -> DataFrame:
+    """Files, findings, failed files, and whether a report is due, over scanned documents."""
+    totals = scanned.agg(
+        F.count("*").alias("files"),
+        F.coalesce(F.sum(F.size("findings")), F.lit(0)).alias("findings"),
+        F.count_if("failed").alias("failed_files"),
+    )
+    return totals.withColumn("report_due", report_is_due(F.col("findings"), F.col("failed_files")))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from piisieve import (
     PythonDetector, Registry, RuleDetector, default_registry, findings_of, scan, scan_documents,
-    scan_files, scan_new_files, to_report, write_report,
+    scan_files, scan_new_files, write_report,
 )
 from piisieve.functions.scoring import mask_value, risk_tier
 from piisieve.plans.report import default_report_name, report_is_due
