@@ -1,9 +1,12 @@
 """The name detector: chunks, joined entities, de-duplication, scores."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from piisieve import NameDetector, default_registry, scan
+from piisieve.functions.matches import LONG_TEXT
 from piisieve.operators.names import chunk_text, clean_entities, locate_entities, merge_touching
 
 ENTITY = "struct<entity_group:string,word:string,start:int,end:int,score:double>"
@@ -63,6 +66,16 @@ def test_overlap_is_reported_once(spark):
     assert found == [("王小明", 460), ("陳大文", 498)]
 
 
+def test_names_in_a_long_text(spark):
+    """Beyond LONG_TEXT contexts are cut from blocks; every name is found once, at chunk edges too."""
+    text = "".join("我😀" * (150 + i % 7) + "王小明" for i in range(300))
+    assert len(text) > LONG_TEXT
+    found = names(spark, [text])
+    assert [r.start_pos for r in found if r.matched_value == "王小明"] == [m.start() for m in re.finditer("王小明", text)]
+    for r in found:
+        assert r.context == text[max(0, r.start_pos - 50) : r.start_pos + len(r.matched_value) + 50]
+
+
 def test_failing_predictor_gives_no_names_for_that_text_only(spark):
     def factory():
         inner = gazetteer()
