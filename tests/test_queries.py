@@ -4,6 +4,8 @@ import pytest
 from check_queries import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
+from catalog.oracles import ORACLES
+from catalog.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -13,7 +15,7 @@ def db():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_agrees_with_sql(spark, db, name):
     _, problems = compare(spark, db, SF_DIR, name)
     assert problems == []
@@ -21,7 +23,8 @@ def test_query_agrees_with_sql(spark, db, name):
 
 def test_sql_belongs_to_queries():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"folder_listing", "folder_status"}
+    assert set(QUERIES) <= set(queries())
+    assert set(QUERIES) - set(ORACLES) == {"folder_listing", "folder_status"}
 
 
 def test_entry_has_findings(spark):
