@@ -23,15 +23,20 @@ def spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACE}]+", " "))
 
 
+def _without_spaces(words: Column) -> Column:
+    return F.length(F.replace(words, F.lit(" "), F.lit("")))
+
+
 def word_chars(text: Column) -> Column:
-    return F.length(F.replace(spaced(text), F.lit(" "), F.lit(""))).cast("long")
+    return _without_spaces(spaced(text)).cast("long")
+
+
+def _count_words(words: Column) -> Column:
+    return F.when(words == "", 0).otherwise(F.length(words) - _without_spaces(words) + 1).cast("long")
 
 
 def n_words(text: Column) -> Column:
-    words = spaced(text)
-    return F.when(words == "", 0).otherwise(
-        F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1
-    ).cast("long")
+    return let(spaced(text), _count_words)
 
 
 def n_symbols(text: Column) -> Column:
@@ -48,12 +53,18 @@ def n_dup_lines(text: Column) -> Column:
 
 
 def n_repeat_words(text: Column) -> Column:
-    """Words covered by 5-word windows that stand twice or more in the text.
+    """Words covered by 5-word windows that stand twice or more in the text."""
+    return _count_repeated(spaced(text))
+
+
+def _count_repeated(words: Column) -> Column:
+    """`n_repeat_words` of spaced words.
 
     Windows come from one pattern with a look-ahead. Most texts repeat none, which a set of the windows tells;
     only the others sort them to find the equal ones and add up what these cover.
     """
-    window = rf"(?:^|(?<= ))(?=([^ ]++(?: [^ ]++){{{WINDOW_WORDS - 1}}}))"
+    # The window is looked at, then one word is passed, so that each match begins at a word.
+    window = rf"(?=([^ ]++(?: [^ ]++){{{WINDOW_WORDS - 1}}}))[^ ]++ ?"
 
     def covered(windows: Column) -> Column:
         placed = F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
@@ -76,7 +87,7 @@ def n_repeat_words(text: Column) -> Column:
         )
 
     return let(
-        F.regexp_extract_all(spaced(text), F.lit(window), 1),
+        F.regexp_extract_all(words, F.lit(window), 1),
         lambda windows: F.when(F.size(windows) == F.size(F.array_distinct(windows)), 0).otherwise(covered(windows)),
     ).cast("long")
 
@@ -89,8 +100,16 @@ class Rule:
     rejects: Callable[[Column], Column]
 
 
-def _mean_word_length(text: Column) -> Column:
-    return let(spaced(text), lambda s: F.length(s) / (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1))
+def _odd_word_length(text: Column) -> Column:
+    def odd(words: Column) -> Column:
+        return ~(F.length(words) / (F.length(words) - _without_spaces(words) + 1)).between(2.5, 15)
+
+    return let(spaced(text), odd)
+
+
+def _per_chars(pattern: str, chars: int) -> Callable[[Column], Column]:
+    """Whether the pattern matches more than once per so many characters."""
+    return lambda text: chars * F.regexp_count(text, F.lit(pattern)) > F.length(text)
 
 
 BASE_RULES = [
@@ -98,11 +117,11 @@ BASE_RULES = [
     Rule("repeated words", lambda text: 100 * n_repeat_words(text) > REPEAT_PERCENT * n_words(text)),
 ]
 METHOD_RULES = [
-    Rule("symbols", lambda text: 10 * n_symbols(text) > 2 * n_words(text)),
+    Rule("symbols", _per_chars(r"[#*$%&|<>]", 30)),
     Rule("repeated lines", lambda text: 10 * n_dup_lines(text) > 3 * F.size(lines_with_words(text))),
-    Rule("word length", lambda text: ~_mean_word_length(text).between(2.5, 15)),
-    Rule("shouting", lambda text: 10 * F.regexp_count(text, F.lit("[!?]{2,}")) > 2 * n_words(text)),
-    Rule("capitals", lambda text: 2 * F.regexp_count(text, F.lit(r"\p{Lu}")) > word_chars(text)),
+    Rule("word length", _odd_word_length),
+    Rule("shouting", _per_chars("[!?]{2,}", 30)),
+    Rule("capitals", _per_chars(r"\p{Lu}", 2)),
 ]
 
 
@@ -155,14 +174,16 @@ def quality_rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     verdict = passes_rules(docs, METHOD_RULES)
     text = F.col("text")
+    # Also bound once: the words with single spaces, from which three of the counts come.
+    docs = docs.withColumn("words", spaced(text))
     counted = docs.select(
         "id",
         "text",
-        n_words(text).alias("n_words"),
-        word_chars(text).alias("word_chars"),
+        _count_words(F.col("words")).alias("n_words"),
+        _without_spaces(F.col("words")).cast("long").alias("word_chars"),
         n_symbols(text).alias("n_symbols"),
         n_dup_lines(text).alias("n_dup_lines"),
-        n_repeat_words(text).alias("n_repeat_words"),
+        _count_repeated(F.col("words")).alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < FEWEST_WORDS) | (
         100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")
