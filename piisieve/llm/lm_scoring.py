@@ -22,7 +22,7 @@ from piisieve.llm.common import fold, written
 HELD_OUT_MODULUS, HELD_OUT_REST = 7, 2
 # Of the learnt documents, those with this rest are held out of the counts to learn the weights.
 DEVELOPMENT_REST = 3
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_500_000
 # N-grams that a bucket should own; a text has about one for six characters.
 BUCKET_CHARS = 12_000_000
 EM_ROUNDS = 60
@@ -83,7 +83,8 @@ class _Block:
         self.pairs, self.pair_of = np.unique(
             np.concatenate((pair, np.full(len(lengths), start, np.uint64) * (known + np.uint64(1)))), return_inverse=True
         )
-        self.before, self.word = (self.pairs // known).astype(np.int64), (self.pairs % known).astype(np.int64)
+        self.pair_of = self.pair_of.astype(np.int32)
+        self.before, self.word = (self.pairs // known).astype(np.int32), (self.pairs % known).astype(np.int32)
         self.token_role = np.concatenate((np.repeat(role, lengths), role))
 
     @classmethod
@@ -396,11 +397,13 @@ def deleted_interpolation(df: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):  # one block at a time, as each is large
+                row = batch.slice(at, 1).to_pylist()[0]
                 ids = pa.ipc.open_stream(row["ids"]).read_all().column("id").combine_chunks()
                 codes = _unpacked(row["codes"], np.int32).astype(np.int64)
                 words, pairs = (_unpacked(row[c], np.int64) for c in ("words", "pairs"))
                 words, pairs = words[: len(words) // 2], pairs[: len(pairs) // 2]
+                row["codes"] = row["words"] = row["pairs"] = None
                 block = _Block(
                     ids, _unpacked(row["role"], np.int8), _unpacked(row["lengths"], np.int64), codes,
                     np.zeros(len(words), np.uint64),
@@ -409,6 +412,7 @@ def deleted_interpolation(df: DataFrame, *, id_col: str = "doc_id", text_col: st
                 mix = weights[context_bucket(before)]
                 likely = mix[:, 0] * pairs / np.maximum(before, 1) + mix[:, 1] * word / max(tokens, 1) + mix[:, 2] / (types + 1)
                 of_token = block.pair_of[: len(codes)]
+                del mix, before, word, pairs
                 firsts = np.cumsum(block.lengths) - block.lengths
                 known_word = words[codes]
                 base = np.log10((known_word + 1) / (tokens + types + 1))
