@@ -3,9 +3,10 @@
 A suffix is written as letters, each the 64-bit name of a run of `LETTER_WORDS` words; a tree of suffixes down to as many
 letters as make `MIN_WORDS` words has a deep node for each repeated passage, and following nodes make up the maximal repeats.
 
-1. Of each window of MIN_WORDS words the smallest name in it is taken. Equal windows have equal smallest names, so only
-   windows whose smallest name stands in two documents can repeat. That leaves few names to shuffle, and few texts and suffixes after them.
-2. Suffixes are dealt out by prefixes of variable length: a prefix is one letter longer where more suffixes begin with it
+1. Each run of NAME_WORDS words is named too, and of each window of MIN_WORDS words the smallest name in it is taken. Equal
+   windows have equal smallest names, so only windows whose smallest name stands in two documents can repeat. That
+   leaves few names to shuffle, and few texts and suffixes after them.
+2. Suffixes are dealt out by prefixes of variable length: a prefix is one letter longer where more suffixes begin alike
    than fit a group. Suffixes that are equal in all letters need no longer prefix, as each task sends only one document's.
 3. Each group is sorted, which is its subtree in depth-first order, and read as a stream. A deep node is a run of suffixes
    that agree in all letters.
@@ -22,9 +23,12 @@ from piisieve.llm.common import words, written
 from piisieve.llm.quality_rules import n_words, spaced
 
 MIN_WORDS = 50
-LETTER_WORDS = 10
+LETTER_WORDS = 25
+NAME_WORDS = 10
 # Suffixes that a group of the tree should not exceed.
 GROUP_ROWS = 1 << 20
+# Prefixes are counted by this many cells of their hash, a bound for what is broadcast.
+PREFIX_CELLS = 1 << 16
 _NO_ID = (1 << 63) - 1
 
 
@@ -34,7 +38,7 @@ def _word_hashes(tokens: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
 
 
-def letter_names(tokens: list[bytes], length: int) -> np.ndarray:
+def run_names(tokens: list[bytes], length: int) -> np.ndarray:
     """The name of the run of `length` words that starts at each word."""
     hashes = _word_hashes(tokens)
     n = len(hashes) - length + 1
@@ -65,13 +69,19 @@ class _Shape:
         self.min_words, self.letter_words = min_words, letter_words
         self.letters = min_words // letter_words
         self.columns = [f"l{i}" for i in range(self.letters)]
+        self.name_words = min(NAME_WORDS, min_words)
 
-    def windows(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Letter names at each word, and each window's smallest name; nothing for a text shorter than a window."""
+    def windows(self, tokens: list[bytes]) -> np.ndarray:
+        """Each window's smallest name; nothing for a text shorter than a window."""
         if len(tokens) < self.min_words:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        names = letter_names(tokens, self.letter_words)
-        return names, smallest_names(names, self.min_words - self.letter_words + 1).view(np.int64)
+            return np.empty(0, np.int64)
+        names = run_names(tokens, self.name_words)
+        return smallest_names(names, self.min_words - self.name_words + 1).view(np.int64)
+
+    def suffixes(self, tokens: list[bytes], starts: np.ndarray) -> np.ndarray:
+        """A row of letters for each start."""
+        letters = run_names(tokens, self.letter_words).view(np.int64)
+        return letters[starts[:, None] + self.letter_words * np.arange(self.letters)]
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -87,7 +97,7 @@ def _shared_texts(docs: DataFrame, shape: _Shape) -> DataFrame:
 
     def names_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shape.windows(words(t))[1]) for t in batch.column(2).to_pylist()]
+            found = [np.unique(shape.windows(words(t))) for t in batch.column(2).to_pylist()]
             row = np.repeat(np.arange(len(found)), [len(x) for x in found])
             names = np.concatenate(found) if found else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -105,7 +115,7 @@ def _shared_texts(docs: DataFrame, shape: _Shape) -> DataFrame:
         for batch in batches:
             starts = []
             for at, text in enumerate(batch.column(2).to_pylist()):
-                _, least = shape.windows(words(text))
+                least = shape.windows(words(text))
                 wanted = batch.column(3)[at].values.to_numpy(zero_copy_only=False)
                 starts.append(np.flatnonzero(np.isin(least, wanted)).astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -128,16 +138,14 @@ def _runs(keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _suffixes(shared: DataFrame, shape: _Shape) -> DataFrame:
     """Rows (l0.., sid, key, start, count): the suffixes that enter the tree, with count 0, and runs of `count` windows
-    that repeat a smaller document of the same batch, which need no tree and have no letters."""
+    that repeat a smaller document of the same batch, which need no tree; their letters are 0."""
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letters, rows, at = [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 starts = np.frombuffer(batch.column(3)[i].as_py(), "<i4").astype(np.int64)
-                names, _ = shape.windows(words(text))
-                steps = starts[:, None] + shape.letter_words * np.arange(shape.letters)
-                letters.append(names.view(np.int64)[steps])
+                letters.append(shape.suffixes(words(text), starts))
                 rows.append(np.full(len(starts), i))
                 at.append(starts)
             if not letters:
@@ -148,70 +156,85 @@ def _suffixes(shared: DataFrame, shape: _Shape) -> DataFrame:
             letter, key, sid, start = letter[order], key[order], sid[order], start[order]
             new = np.ones(len(key), bool)
             new[1:] = (letter[1:] != letter[:-1]).any(axis=1)
-            node = np.cumsum(new) - 1
-            known = sid > sid[new][node] if len(sid) else np.zeros(0, bool)
+            known = sid > sid[new][np.cumsum(new) - 1]
             runs = _runs(key[known], start[known])
-            sent = ~known
-            blank = pa.nulls(len(runs[0]), pa.int64())
-            columns = [pa.concat_arrays([pa.array(letter[sent, c]), blank]) for c in range(shape.letters)]
-            columns += [pa.concat_arrays([pa.array(sid[sent]), blank])]
-            zeros = np.zeros(int(sent.sum()), np.int64)
-            for own, run in ((key[sent], runs[0]), (start[sent], runs[1]), (zeros, runs[2])):
-                columns.append(pa.array(np.concatenate((own, run)).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays(columns, [*shape.columns, "sid", "key", "start", "count"])
+            none = np.zeros(len(runs[0]), np.int64)
+            columns = [np.concatenate((letter[~known, c], none)) for c in range(shape.letters)]
+            columns.append(np.concatenate((sid[~known], none)))
+            zeros = np.zeros(len(columns[0]) - len(none), np.int64)
+            columns += [np.concatenate(pair) for pair in zip((key[~known], start[~known], zeros), runs, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c.astype(np.int64)) for c in columns], [*shape.columns, "sid", "key", "start", "count"]
+            )
 
     names = ", ".join(f"{c} long" for c in [*shape.columns, "sid", "key", "start", "count"])
     return shared.mapInArrow(suffixes, names)
 
 
-def _with_prefix(suffixes: DataFrame, shape: _Shape, group_rows: int) -> DataFrame:
-    """`prefix`: a hash of as many letters as it takes for no more than `group_rows` suffixes to share them."""
-    suffixes = suffixes.withColumn("depth", F.lit(1))
+def _prefix_depths(suffixes: DataFrame, shape: _Shape, group_rows: int) -> tuple[list[DataFrame], int]:
+    """For each prefix length the cells whose suffixes need one letter more, as long as there are any; and the number of suffixes.
+
+    Prefixes are counted by PREFIX_CELLS cells of their hash. No prefix has more suffixes than its cell, and a cell that is
+    too full for many small prefixes only makes these longer than they need be.
+    """
+    entering, total, crowded = suffixes.where("count = 0"), None, []
     for depth in range(1, shape.letters):
-        letters = shape.columns[:depth]
-        crowded = suffixes.where(F.col("depth") == depth).groupBy(*letters).agg(F.count(F.lit(1)).alias("n"))
-        crowded = written(crowded.where(F.col("n") > group_rows).select(*letters))
-        if crowded.isEmpty():
+        cell = F.pmod(F.xxhash64(*shape.columns[:depth]), F.lit(PREFIX_CELLS)).alias(f"cell{depth}")
+        for d, cells in enumerate(crowded, 1):
+            own = F.pmod(F.xxhash64(*shape.columns[:d]), F.lit(PREFIX_CELLS))
+            entering = entering.withColumn(f"cell{d}", own).join(F.broadcast(cells), f"cell{d}", "left_semi")
+        counts = entering.groupBy(cell).agg(F.count(F.lit(1)).alias("n"))
+        counts = written(counts)  # PREFIX_CELLS rows at most
+        total = (counts.agg(F.sum("n")).first()[0] or 0) if total is None else total
+        cells = counts.where(F.col("n") > group_rows).select(f"cell{depth}")
+        if cells.isEmpty():
             break
-        suffixes = suffixes.join(crowded.withColumn("crowded", F.lit(True)), letters, "left")
-        deeper = F.when(F.col("crowded"), depth + 1).otherwise(F.col("depth"))
-        suffixes = suffixes.withColumn("depth", deeper).drop("crowded")
-    ways = [F.when(F.col("depth") == d, F.xxhash64(*shape.columns[:d])) for d in range(1, shape.letters + 1)]
-    return suffixes.withColumn("prefix", F.coalesce(*ways)).drop("depth")
+        crowded.append(cells)
+    return crowded, total or 0
 
 
 def _repeats_in_trees(suffixes: DataFrame, shape: _Shape, group_rows: int) -> DataFrame:
     """Rows (key, start, count): windows that also start in a document with a smaller id."""
-    spark = suffixes.sparkSession
-    entering = suffixes.where("count = 0").drop("count")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(partitions, -(-entering.count() // group_rows))
+    crowded, total = _prefix_depths(suffixes, shape, group_rows)
+    partitions = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(partitions, -(-total // group_rows))
+    dealt = suffixes.withColumn("depth", F.lit(1))
+    for depth, cells in enumerate(crowded, 1):
+        dealt = dealt.withColumn(f"cell{depth}", F.pmod(F.xxhash64(*shape.columns[:depth]), F.lit(PREFIX_CELLS)))
+        dealt = dealt.join(F.broadcast(cells.withColumn("crowded", F.lit(True))), f"cell{depth}", "left")
+        deeper = F.when((F.col("depth") == depth) & F.col("crowded"), depth + 1).otherwise(F.col("depth"))
+        dealt = dealt.withColumn("depth", deeper).drop("crowded", f"cell{depth}")
+    ways = [F.when(F.col("depth") == d, F.xxhash64(*shape.columns[:d])) for d in range(1, shape.letters + 1)]
+    # Runs that need no tree go along, spread evenly.
+    prefix = F.when(F.col("count") > 0, F.xxhash64("key", "start")).otherwise(F.coalesce(*ways))
 
     def deep_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, lowest = None, 0  # the letters of the suffix before, and the smallest id of its node
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            letter = np.stack([batch.column(c).to_numpy() for c in range(shape.letters)], axis=1)
-            sid, key, start = (batch.column(shape.letters + c).to_numpy() for c in range(3))
-            differs = np.ones((len(sid), shape.letters), bool)
-            differs[1:] = letter[1:] != letter[:-1]
-            if last is not None:
-                differs[0] = letter[0] != last
-            # How many letters a suffix shares with the one before: the depth of the node where they part.
-            shared = np.where(differs.any(axis=1), differs.argmax(axis=1), shape.letters)
-            new = shared < shape.letters
-            node = np.cumsum(new)  # 0: still the node of the batch before
-            low = np.concatenate(([lowest], sid[new]))[node]
-            repeats = sid > low
-            last, lowest = letter[-1], int(low[-1])
-            runs = _runs(key[repeats], start[repeats])
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in runs], ["key", "start", "count"])
+            columns = [batch.column(c).to_numpy() for c in range(batch.num_columns)]
+            ready = columns[-1] > 0
+            known = [c[ready] for c in columns[shape.letters + 1 :]]
+            letter = np.stack(columns[: shape.letters], axis=1)[~ready]
+            sid, key, start = (c[~ready] for c in columns[shape.letters : shape.letters + 3])
+            if len(sid):
+                differs = np.ones((len(sid), shape.letters), bool)
+                differs[1:] = letter[1:] != letter[:-1]
+                if last is not None:
+                    differs[0] = letter[0] != last
+                # How many letters a suffix shares with the one before: the depth of the node where they part.
+                shared = np.where(differs.any(axis=1), differs.argmax(axis=1), shape.letters)
+                new = shared < shape.letters
+                node = np.cumsum(new)  # 0: still the node of the batch before
+                low = np.concatenate(([lowest], sid[new]))[node]
+                last, lowest = letter[-1], int(low[-1])
+                repeats = sid > low
+                runs = _runs(key[repeats], start[repeats])
+                known = [np.concatenate(pair) for pair in zip(known, runs, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in known], ["key", "start", "count"])
 
     order = [*shape.columns, "sid", "key", "start"]
-    dealt = _with_prefix(entering, shape, group_rows).repartition(groups, "prefix").select(*order)
-    found = dealt.sortWithinPartitions(*order).mapInArrow(deep_nodes, "key long, start long, count long")
-    return found.unionByName(suffixes.where("count > 0").select("key", "start", "count"))
+    dealt = dealt.withColumn("prefix", prefix).repartition(groups, "prefix").select(*order, "count")
+    return dealt.sortWithinPartitions(*order).mapInArrow(deep_nodes, "key long, start long, count long")
 
 
 def cut_words(text: str, covered: np.ndarray) -> str:
@@ -243,8 +266,7 @@ def changed_texts(
     """
     shape = _Shape(min_words, letter_words)
     shared = _shared_texts(_keyed(df, id_col, text_col), shape)
-    suffixes = written(_suffixes(shared, shape))
-    repeats = _repeats_in_trees(suffixes, shape, group_rows)
+    repeats = _repeats_in_trees(_suffixes(shared, shape), shape, group_rows)
     spans = repeats.groupBy("key").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
