@@ -1,5 +1,6 @@
 """Byte-level BPE: encoding by a priority queue of merge ranks, decoding by concatenation."""
 
+import json
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -9,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from piisieve.llm.common import worker_state
-from piisieve.llm.pretokens import CACHED_PRETOKENS, Pretokenizer
+from piisieve.llm.pretokens import Pretokenizer
 
+# Encoded pre-tokens that a worker keeps; beyond this many it starts anew.
+CACHED_PRETOKENS = 250_000
 # Longer pre-tokens are rare and are encoded anew each time.
 CACHED_LENGTH = 64
 _POSITION_BITS = 40
@@ -25,7 +28,7 @@ def _printable_bytes() -> list[str]:
 
 
 class Merges:
-    """The vocabulary of a byte-level tokenizer file as byte ids, ranked merges and byte strings."""
+    """The vocabulary of a byte-level tokenizer file as byte ids and ranked merges."""
 
     def __init__(self, pretokenizer: Pretokenizer):
         vocab = pretokenizer.model["vocab"]
@@ -39,9 +42,6 @@ class Merges:
             self.left.append(vocab[a])
             self.right.append(vocab[b])
             self.merged.append(vocab[a + b])
-        bytes_of = {name: bytes([b]) for b, name in enumerate(names)}
-        self.strings = {i: b"".join(bytes_of[c] for c in token) for token, i in vocab.items()}
-        self.strings |= {i: content.encode() for content, i in pretokenizer.special.items()}
 
     def encode(self, piece: bytes) -> list[int]:
         """Merge the lowest-ranked pair, the leftmost of equal ranks, until no pair is left.
@@ -84,6 +84,19 @@ class Merges:
         return [i for i in ids if i >= 0]
 
 
+def _strings(vocabulary: str) -> dict[int, bytes]:
+    """The bytes of each id."""
+
+    def build():
+        with open(vocabulary, encoding="utf-8") as file:
+            spec = json.load(file)
+        bytes_of = {name: bytes([b]) for b, name in enumerate(_printable_bytes())}
+        strings = {i: b"".join(bytes_of[c] for c in token) for token, i in spec["model"]["vocab"].items()}
+        return strings | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+
+    return worker_state(f"strings {vocabulary}", build)
+
+
 class _Encoded(dict):
     """Ids of pre-tokens as little-endian unsigned 32-bit integers, encoded when first asked for."""
 
@@ -104,6 +117,7 @@ def _tools(vocabulary: str) -> tuple[Pretokenizer, Merges, _Encoded]:
     def build():
         pretokenizer = Pretokenizer(vocabulary)
         merges = Merges(pretokenizer)
+        pretokenizer.model = None  # the parsed file is large
         return pretokenizer, merges, _Encoded(merges)
 
     return worker_state(f"merges {vocabulary}", build)
@@ -145,8 +159,7 @@ def bpe_decode(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", ids_co
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, merges, _ = _tools(vocabulary)
-        string = merges.strings.__getitem__
+        string = _strings(vocabulary).__getitem__
         for batch in batches:
             texts = [
                 b"".join(map(string, np.frombuffer(ids or b"", "<u4").tolist())).decode("utf-8", "replace")

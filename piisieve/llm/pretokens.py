@@ -10,6 +10,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 # Parsed vocabularies and encoded pre-tokens are kept per worker; beyond this many the latter start anew.
 CACHED_PRETOKENS = 500_000
@@ -54,10 +55,19 @@ class Pretokenizer:
         self._special = re.compile("(" + "|".join(map(re.escape, by_length)) + ")") if by_length else None
         self.lower = spec["normalizer"] is not None
         self._split = re.compile(_WORD_SPLIT if self.lower else _BYTE_SPLIT).findall
+        self._path = path
+        self.model = spec["model"]
+
+    @cached_property
+    def _bare(self):
+        """The library's tokenizer for single pre-tokens: nothing but the merges."""
+        from tokenizers import Tokenizer
+
+        with open(self._path, encoding="utf-8") as file:
+            spec = json.load(file)
         alone = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         bare = spec | {"normalizer": None, "pre_tokenizer": alone, "added_tokens": [], "post_processor": None}
-        self._bare = Tokenizer.from_str(json.dumps(bare | {"truncation": None, "padding": None}))
-        self.model = spec["model"]
+        return Tokenizer.from_str(json.dumps(bare | {"truncation": None, "padding": None}))
 
     def pretokens(self, text: str) -> Iterator[list[str] | int]:
         """Lists of pre-tokens, with the ids of special tokens between them."""
