@@ -6,6 +6,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from piisieve.llm.pretokens import Pretokenizer
 CACHED_PRETOKENS = 250_000
 # Longer pre-tokens are rare and are encoded anew each time.
 CACHED_LENGTH = 64
+# Batches are handled in runs of rows of about so many bytes, so that memory follows the longest row.
+SLICE_BYTES = 1 << 20
 _POSITION_BITS = 40
 
 
@@ -133,6 +136,18 @@ def _encode_text(text: str, pretokenizer: Pretokenizer, encoded: _Encoded) -> by
     return b"".join(parts)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows in order, in runs with about SLICE_BYTES in their second column; a longer row stands alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def bpe_encode(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id_col, ids): the ids of each whole text as little-endian unsigned 32-bit integers in a binary.
 
@@ -143,7 +158,7 @@ def bpe_encode(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_c
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pretokenizer, _, encoded = _tools(vocabulary)
-        for batch in batches:
+        for batch in _slices(batches):
             ids = [_encode_text(text or "", pretokenizer, encoded) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
 
@@ -160,7 +175,7 @@ def bpe_decode(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", ids_co
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         string = _strings(vocabulary).__getitem__
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [
                 b"".join(map(string, np.frombuffer(ids or b"", "<u4").tolist())).decode("utf-8", "replace")
                 for ids in batch.column(1).to_pylist()
