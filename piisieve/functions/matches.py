@@ -1,5 +1,8 @@
 """Every match of a pattern with its offset, and the text around it."""
 
+import re
+import warnings
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,21 +47,95 @@ def start_offsets(text: Column, pattern: Column, wholes: Column) -> Column:
 def hits_at(text: Column, pattern: str, wholes: Column, starts: Column, group: int = 0) -> Column:
     """`array<struct<value, start>>` of the matches.
 
-    With `group` = 1 the value is that group, which must end where the match ends.
+    With `group` = 1 the value is that group; a match in which it is empty or takes no part is no hit then,
+    unless the pattern ends with it. See `around_group` for the patterns that are taken.
     """
     if group == 0:
         return F.zip_with(
             wholes, starts, lambda whole, start: F.struct(whole.alias("value"), start.alias("start"))
         )
-    return F.transform(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)),
-        lambda value, i: F.struct(
-            value.alias("value"),
-            (F.get(starts, i) + F.length(F.get(wholes, i)) - F.length(value)).alias("start"),
-        ),
+
+    flags, prefix, inner, rest = around_group(pattern)
+    if not rest:
+        return F.transform(
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(1)),
+            lambda value, i: F.struct(
+                value.alias("value"),
+                (F.get(starts, i) + F.length(F.get(wholes, i)) - F.length(value)).alias("start"),
+            ),
+        )
+    # What stands before the group becomes a group of its own, whose length places it.
+    wrapped = F.lit(f"{flags}({prefix}){inner}{rest}")
+
+    def placed(befores: Column) -> Column:
+        return F.transform(
+            F.regexp_extract_all(text, wrapped, F.lit(2)),
+            lambda value, i: F.struct(
+                value.alias("value"), (F.get(starts, i) + F.length(F.get(befores, i))).alias("start")
+            ),
+        )
+
+    return F.filter(
+        let(F.regexp_extract_all(text, wrapped, F.lit(1)), placed), lambda hit: F.length(hit["value"]) > 0
     )
 
 
+def matches_empty(pattern: str) -> bool:
+    """Whether a pattern matches an empty text, as far as Python's `re` can read it."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            return re.search(pattern, "") is not None
+        except re.error:
+            return False
+
+
+def around_group(pattern: str) -> tuple[str, str, str, str]:
+    """Leading flags, what stands before the first group, the group with its brackets, and what follows.
+
+    The group must stand outside other brackets and alternatives, must not be repeated, and the pattern must
+    not refer back to groups or set flags further on; any other pattern raises a ValueError.
+    """
+    flags = re.match(r"(?:\(\?[a-zA-Z]+\))*", pattern)[0]
+    body = pattern[len(flags) :]
+    depth = in_class = i = 0
+    opened = closed = None
+    plain = True
+    while i < len(body):
+        c = body[i]
+        if body.startswith("\\Q", i):
+            end = body.find("\\E", i)
+            i = len(body) if end < 0 else end + 2
+            continue
+        if c == "\\":
+            plain &= body[i + 1 : i + 2] not in tuple("123456789k")
+            i += 2
+            continue
+        if c == "[":
+            in_class += 1
+        elif c == "]" and in_class:
+            in_class -= 1
+        elif in_class:
+            pass
+        elif c == "(":
+            plain &= re.match(r"\(\?[a-zA-Z-]+\)", body[i:]) is None
+            captures = not body.startswith("(?", i) or re.match(r"\(\?<[a-zA-Z]", body[i:])
+            if captures and opened is None:
+                opened = i
+                plain &= depth == 0
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if opened is not None and closed is None and depth == 0:
+                closed = i + 1
+        elif c == "|":
+            plain &= depth > 0
+        i += 1
+    if closed is None or not plain or body[closed : closed + 1] in ("*", "+", "{"):
+        raise ValueError(f"the first group of this pattern cannot be placed: {pattern}")
+    return flags, body[:opened], body[opened:closed], body[closed:]
+
+
 def find_matches(text: Column, pattern: str, group: int = 0) -> Column:
     """Matches with offsets in one expression, for use outside a scan."""
 

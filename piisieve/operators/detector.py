@@ -14,7 +14,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
-from ..functions.matches import context_window, hits_at, location_label, whole_matches
+from ..functions.matches import (
+    around_group, context_window, hits_at, location_label, matches_empty, whole_matches,
+)
 from ..functions.scoring import keyword_score
 from ..schema import FINDING_STRUCT, FINDINGS_TYPE
 
@@ -72,7 +74,8 @@ class RuleDetector(Detector):
     """A detector that is plain data: a pattern, a window, a score, keywords and a checksum.
 
     `guards` are conditions every text with a match meets. They are cheap, so the pattern only runs on
-    texts that may match. `group` = 1 means that the hit is the pattern's first group.
+    texts that may match. `group` = 1 means that the hit is the pattern's first group. A pattern that
+    matches an empty text is refused, as are groups that cannot be placed (see `around_group`).
     """
 
     pattern: str = ""
@@ -92,6 +95,12 @@ class RuleDetector(Detector):
             raise TypeError(f"{self.name} needs a pattern")
         if not 0.0 <= self.score <= 1.0:
             raise ValueError(f"{self.name}: score {self.score} is outside 0 to 1")
+        if matches_empty(self.pattern):
+            raise ValueError(f"{self.name}: the pattern matches an empty text")
+        if self.group not in (0, 1):
+            raise ValueError(f"{self.name}: group {self.group} is neither 0 nor 1")
+        if self.group == 1:
+            around_group(self.pattern)
 
     def candidates(self, text: Column) -> Column:
         matches = whole_matches(text, self.pattern)

@@ -5,8 +5,11 @@ the document's own row: no shuffle, and the text never leaves the row. Only the
 """
 
 import logging
+import sys
+import types
+import uuid
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -121,7 +124,7 @@ def locate_entities(chunks: Column, group: str = PERSON) -> Column:
 
 @dataclass(frozen=True)
 class NameDetector(Detector):
-    """Names found by `predictor_factory()(chunks)`, called once per document and worker-loaded once.
+    """Names found by `predictor_factory()(chunks)`; loaded once per Python worker, called once per document.
 
     The predictor takes a list of chunks and returns a list with one list of entities per chunk; an
     entity is a mapping with entity_group, word, start, end and score. If it raises, the document has
@@ -131,6 +134,8 @@ class NameDetector(Detector):
     name: str = "NlpNameScanner"
     pii_type: str = "PERSON_NAME"
     predictor_factory: Callable[[], Callable[[Sequence[str]], Sequence]] | None = None
+    # Tells this detector's predictor from another's of the same name in a worker.
+    key: str = field(default_factory=lambda: uuid.uuid4().hex, repr=False, compare=False)
 
     def __post_init__(self) -> None:
         super().__post_init__()
@@ -138,11 +143,11 @@ class NameDetector(Detector):
             raise TypeError(f"{self.name} needs a predictor factory")
 
     def candidates(self, text: Column) -> Column:
-        factory = self.predictor_factory
+        name, key, factory = self.name, self.key, self.predictor_factory
 
         @F.arrow_udf(ENTITIES_DDL)
         def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            predictor = factory()
+            predictor = _predictor(name, key, factory)
             for batch in batches:
                 yield pa.array(
                     [None if chunks is None else _predict(predictor, chunks) for chunks in batch.to_pylist()],
@@ -177,6 +182,20 @@ class NameDetector(Detector):
         return F.when(F.size(candidates) > 0, rows).otherwise(no_findings())
 
 
+def _predictor(name: str, key: str, factory: Callable) -> Callable:
+    """The worker's predictor for detectors of this name, loaded anew only for another detector.
+
+    The code may be sent to the workers by value, which gives each task its own module globals, so it
+    is kept in a module of its own in `sys.modules`.
+    """
+    holder = sys.modules.setdefault("piisieve_predictors", types.ModuleType("piisieve_predictors"))
+    loaded = holder.__dict__.setdefault("loaded", {})
+    if name not in loaded or loaded[name][0] != key:
+        loaded.pop(name, None)
+        loaded[name] = key, factory()
+    return loaded[name][1]
+
+
 def _predict(predictor: Callable, chunks: list[str]) -> list[list[dict]]:
     """One call for the document; rounding is done here because it works on the exact binary value."""
     try:

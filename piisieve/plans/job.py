@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.detector import Detector
 from ..operators.registry import default_registry
 from ..operators.scan import flatten_findings, with_findings
+from ..schema import FINDING_SCHEMA
 from ..sources.extract import extract_text
 from ..sources.listing import read_files
 from .report import default_report_name, scan_totals, write_report
@@ -35,9 +36,10 @@ def scan_documents(
 
 
 def findings_of(scanned: DataFrame) -> DataFrame:
-    """The flat findings table of scanned documents."""
-    found = flatten_findings(scanned, ["doc_id", "file_path"])
-    return found.withColumn("timestamp_utc", F.current_timestamp())
+    """The flat findings table of scanned documents, with the time of the document's scan; without one, the present."""
+    if "timestamp_utc" not in scanned.columns:
+        scanned = scanned.withColumn("timestamp_utc", F.current_timestamp())
+    return flatten_findings(scanned, ["doc_id", "file_path", "timestamp_utc"]).select(FINDING_SCHEMA.names)
 
 
 def scan_files(
@@ -69,7 +71,8 @@ def scan_files(
 
     output = output or default_report_name()
     documents_path, report_path = f"{output}/documents", f"{output}/report"
-    scanned = scan_documents(extract_text(read_files(spark, path, partitions), pdf_extractor), chosen)
+    files = read_files(spark, path, partitions, skip_pdf=pdf_extractor is None)
+    scanned = scan_documents(extract_text(files, pdf_extractor), chosen)
     scanned.write.mode("overwrite" if overwrite else "errorifexists").parquet(documents_path)
 
     written = spark.read.schema(scanned.schema).parquet(documents_path)

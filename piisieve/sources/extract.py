@@ -10,22 +10,14 @@ from pyspark.sql import functions as F
 
 from ..schema import DOCUMENT_SCHEMA
 from .office import docx_text, xlsx_text
+from .routing import (
+    ARCHIVE_MIME, CONTROL, DATA_MIME, DOCX_EXTENSION, DOCX_MIME, HEAD_BYTES, PDF_EXTENSION, PDF_MIME, TEXT_EXTENSIONS,
+    TEXT_MIME, XLSX_EXTENSION, XLSX_MIME,
+)
 
 log = logging.getLogger(__name__)
 
-# ---- Fixed values: extensions, MIME types, encodings and messages ------------------------------------
-
-TEXT_EXTENSIONS = [
-    ".txt", ".html", ".htm", ".css", ".js", ".json", ".xml", ".svg", ".md", ".log", ".csv", ".ini", ".conf",
-]
-DOCX_EXTENSION = ".docx"
-XLSX_EXTENSION = ".xlsx"
-PDF_EXTENSION = ".pdf"
-
-DOCX_MIME = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
-XLSX_MIME = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"
-PDF_MIME = "application/pdf"
-TEXT_MIME = "text/plain"
+# ---- Fixed values: encodings and messages --------------------------------------------------------------
 
 # Tried in this order, strictly, after UTF-8; the last one takes any bytes.
 LEGACY_ENCODINGS = ["big5", "gbk", "latin-1"]
@@ -58,14 +50,15 @@ def route_by_extension(path: Column) -> Column:
 
 
 def sniff_mime(content: Column) -> Column:
-    """MIME type from the bytes: PDF, the two Office formats, other archives, text, or unknown data."""
+    """MIME type from the first HEAD_BYTES: PDF, the two Office formats, other archives, text, or unknown data."""
+    content = F.substring(content, 1, HEAD_BYTES)
 
     def has(part: str) -> Column:
         return F.contains(content, F.lit(part.encode()))
 
     # Any byte is one character in this charset, so the check is on bytes.
     as_bytes = F.decode(content, "ISO-8859-1")
-    has_control = as_bytes.rlike(r"[\x00-\x06\x0e-\x1a\x1c-\x1f\x7f]")
+    has_control = as_bytes.rlike(CONTROL)
     wide_text = F.startswith(content, F.lit(b"\xff\xfe")) | F.startswith(content, F.lit(b"\xfe\xff"))
     return (
         F.when(F.startswith(content, F.lit(b"%PDF-")), F.lit(PDF_MIME))
@@ -73,10 +66,10 @@ def sniff_mime(content: Column) -> Column:
             F.startswith(content, F.lit(b"PK\x03\x04")),
             F.when(has("word/"), F.lit(DOCX_MIME))
             .when(has("xl/"), F.lit(XLSX_MIME))
-            .otherwise(F.lit("application/zip")),
+            .otherwise(F.lit(ARCHIVE_MIME)),
         )
         .when(~has_control | wide_text, F.lit(TEXT_MIME))
-        .otherwise(F.lit("application/octet-stream"))
+        .otherwise(F.lit(DATA_MIME))
     )
 
 

@@ -3,21 +3,30 @@
 Spark's own file readers leave out names that begin with `.` or `_` and empty files, and keep the whole
 listing on the driver. Here the driver only descends until there are enough folders to share out; the
 executors list those and read the files. The folder must be a path that all of them can see.
+
+Nothing is lost without a row: a folder or file that may not be read, or that has gone since it was listed,
+gives a row with `read_error`. Any other fault while listing is raised, so that Spark tries the task again.
 """
 
+import errno
 import os
 import stat
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
-from datetime import datetime, timezone
+from functools import partial
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .routing import HEAD_BYTES, is_routed
 from .tables import TASKS_PER_CORE
 
-LISTING_DDL = "path string, modificationTime timestamp, length bigint"
+# `raw_path` has the bytes of the name and opens the file; `path` shows bytes that are no UTF-8 as \xNN.
+LISTING_DDL = "path string, modificationTime timestamp, length bigint, raw_path binary, read_error string"
 FILE_DDL = (
     "path string, modificationTime timestamp, length bigint, content binary, "
     "read_error string, unreadable boolean"
@@ -25,14 +34,28 @@ FILE_DDL = (
 ROWS_PER_BATCH = 4096
 # Content is handed on in batches of about this many bytes, so memory follows the largest file.
 BYTES_PER_BATCH = 32 * 1024 * 1024
-# A row holds less than 2 GiB; a larger file is reported as an error rather than cut.
+# Content that one task reads, where the number of tasks is not given.
+BYTES_PER_TASK = 128 * 1024 * 1024
+# A row holds less than 2 GiB; a larger file that would be read whole is reported as an error rather than cut.
 LARGEST_FILE = 2**31 - 2**20
 
+# Messages of the check before a file is read.
+NO_FILE = "路徑不是一個有效的檔案"
+NO_PERMISSION = "沒有足夠的權限讀取檔案"
+
+
+def _message(error: OSError) -> str | None:
+    """The message of a file or folder that cannot be read; None for faults that may pass."""
+    if error.errno in (errno.ENOENT, errno.ENOTDIR, errno.EISDIR, errno.ELOOP, errno.ENAMETOOLONG):
+        return NO_FILE
+    return NO_PERMISSION if isinstance(error, PermissionError) else None
+
 
 @dataclass
 class FolderPartition(InputPartition):
-    path: str
-    recursive: bool
+    """Folders, or one file, that one task lists; `recursive` says for each whether its subfolders are included."""
+
+    folders: list[tuple[bytes, bool]]
 
 
 class FileListing(DataSource):
@@ -51,99 +74,135 @@ class FileListing(DataSource):
 
 class FileListingReader(DataSourceReader):
     def __init__(self, path: str, folders: int) -> None:
-        self.path = path.removeprefix("file://").removeprefix("file:")
+        self.path = os.fsencode(local_path(path))
         self.folders = folders
 
     def partitions(self) -> list[FolderPartition]:
+        """At most `folders` partitions; a level with more folders than that is dealt out among them."""
         if not os.path.exists(self.path):
-            raise FileNotFoundError(f"no such file or folder: {self.path}")
-        done: list[FolderPartition] = []
-        level = [self.path]
+            raise FileNotFoundError(f"no such file or folder: {os.fsdecode(self.path)}")
+        if os.path.isfile(self.path):
+            return [FolderPartition([(self.path, False)])]
+        done: list[tuple[bytes, bool]] = []
+        level = deque([self.path])
         while level and len(done) + len(level) < self.folders:
-            folder = level.pop(0)
-            done.append(FolderPartition(folder, recursive=False))
+            folder = level.popleft()
+            done.append((folder, False))
             level.extend(_subfolders(folder))
-        return done + [FolderPartition(folder, recursive=True) for folder in level]
+        found = done + [(folder, True) for folder in level]
+        return [FolderPartition(found[i :: self.folders]) for i in range(min(self.folders, len(found)))]
 
     def read(self, partition: FolderPartition) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for path in _files(partition.path, partition.recursive):
-            try:
-                info = os.stat(path)
-                if not stat.S_ISREG(info.st_mode):
-                    continue
-                rows.append((path, datetime.fromtimestamp(info.st_mtime, timezone.utc), info.st_size))
-            except OSError:
-                continue  # gone since the folder was read
-            if len(rows) >= ROWS_PER_BATCH:
-                yield _listing_batch(rows)
-                rows = []
+        for folder, recursive in partition.folders:
+            for path, error in _files(folder, recursive):
+                row = _listed(path, error)
+                if row is not None:
+                    rows.append(row)
+                if len(rows) >= ROWS_PER_BATCH:
+                    yield _listing_batch(rows)
+                    rows = []
         if rows:
             yield _listing_batch(rows)
 
 
+def local_path(path: str) -> str:
+    """The absolute path, since tasks run in folders of their own."""
+    return os.path.abspath(path.removeprefix("file://").removeprefix("file:"))
+
+
+def _listed(path: bytes, error: str | None) -> tuple | None:
+    """The row of a path, or None for what is no regular file, as a socket."""
+    shown = path.decode("utf-8", "backslashreplace")
+    if error is None:
+        try:
+            info = os.stat(path)
+        except OSError as fault:
+            error = _message(fault)
+            if error is None:
+                raise
+        else:
+            if not stat.S_ISREG(info.st_mode):
+                return None
+            return shown, info.st_mtime_ns // 1000, info.st_size, path, None
+    return shown, None, 0, path, error
+
+
 def _listing_batch(rows: list[tuple]) -> pa.RecordBatch:
-    paths, times, sizes = zip(*rows, strict=True)
+    paths, times, sizes, raw_paths, errors = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(paths, pa.string()),
-            pa.array(times, pa.timestamp("us", tz="UTC")),
+            pa.array(times, pa.int64()).cast(pa.timestamp("us", tz="UTC")),
             pa.array(sizes, pa.int64()),
+            pa.array(raw_paths, pa.binary()),
+            pa.array(errors, pa.string()),
         ],
-        names=["path", "modificationTime", "length"],
+        names=["path", "modificationTime", "length", "raw_path", "read_error"],
     )
 
 
-def _subfolders(folder: str) -> list[str]:
+def _subfolders(folder: bytes) -> list[bytes]:
+    """Subfolders for sharing out. A folder that cannot be read has none here; its row comes from the task that lists it."""
     try:
         with os.scandir(folder) as entries:
             return [e.path for e in entries if e.is_dir(follow_symlinks=False)]
-    except OSError:
+    except OSError as fault:
+        if _message(fault) is None:
+            raise
         return []
 
 
-def _files(folder: str, recursive: bool) -> Iterator[str]:
-    """Files in a folder; links to folders are not followed, folders that cannot be read are passed over."""
+def _files(folder: bytes, recursive: bool) -> Iterator[tuple[bytes, str | None]]:
+    """Files in a folder, and folders that cannot be read with the message; links to folders are not followed."""
     if os.path.isfile(folder):
-        yield folder
+        yield folder, None
         return
     waiting = [folder]
     while waiting:
+        current = waiting.pop()
         try:
-            with os.scandir(waiting.pop()) as entries:
+            with os.scandir(current) as entries:
                 for entry in entries:
                     if entry.is_dir(follow_symlinks=False):
                         if recursive:
                             waiting.append(entry.path)
                     else:
-                        yield entry.path
-        except OSError:
-            continue
+                        yield entry.path, None
+        except OSError as fault:
+            error = _message(fault)
+            if error is None:
+                raise
+            yield current, error
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """All files under a folder: path, modificationTime, length."""
+    """All files under a folder: path, modificationTime, length, raw_path, and read_error where there is one."""
     spark.dataSource.register(FileListing)
     folders = spark.sparkContext.defaultParallelism * TASKS_PER_CORE
-    return spark.read.format("piisieve_listing").option("folders", str(folders)).load(path)
+    return spark.read.format("piisieve_listing").option("folders", str(folders)).load(local_path(path))
 
 
-def read_listed(files: DataFrame, partitions: int) -> DataFrame:
+def read_listed(files: DataFrame, partitions: int, skip_pdf: bool = False) -> DataFrame:
     """Add the content of listed files.
 
     Only the listing is shuffled, so one folder may hold most of the files without one task reading
-    them all.
+    them all. Of a file that no extractor takes only the first HEAD_BYTES are read; `skip_pdf` says that PDFs
+    are among those.
     """
-    return files.repartition(partitions).mapInArrow(_read_contents, FILE_DDL)
+    read = partial(_read_contents, skip_pdf=skip_pdf)
+    return files.repartition(partitions).mapInArrow(read, FILE_DDL)
 
 
-def _read_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_contents(batches: Iterator[pa.RecordBatch], skip_pdf: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         size = 0
         for row in batch.to_pylist():
-            content, error, unreadable = _read_file(row["path"], row["length"])
-            rows.append((*row.values(), content, error, unreadable))
+            content, error, unreadable = None, row["read_error"], True
+            if error is None:
+                content, error, unreadable = _read_file(row["raw_path"], row["path"], row["length"], skip_pdf)
+            rows.append((row["path"], row["modificationTime"], row["length"], content, error, unreadable))
             size += len(content or b"")
             if size >= BYTES_PER_BATCH:
                 yield _content_batch(rows)
@@ -152,17 +211,21 @@ def _read_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield _content_batch(rows)
 
 
-def _read_file(path: str, length: int) -> tuple[bytes | None, str | None, bool]:
-    """Content, or the error and whether the file could not be opened at all."""
+def _read_file(
+    raw_path: bytes, path: str, length: int, skip_pdf: bool
+) -> tuple[bytes | None, str | None, bool]:
+    """Content, or its head where no extractor takes it; or the error and whether the file could not be opened."""
     try:
-        if length > LARGEST_FILE:
-            return None, f"file of {length} bytes is too large for one row", False
-        with open(path, "rb") as file:
-            return file.read(), None, False
-    except (FileNotFoundError, PermissionError) as error:
-        return None, str(error), True
+        with open(raw_path, "rb") as file:
+            head = file.read(HEAD_BYTES)
+            if not is_routed(path, head, skip_pdf):
+                return head, None, False
+            if length > LARGEST_FILE:
+                return None, f"file of {length} bytes is too large for one row", False
+            return (head + file.read() if len(head) == HEAD_BYTES else head), None, False
     except OSError as error:
-        return None, str(error), False
+        message = _message(error)
+        return None, message or str(error), message is not None
 
 
 def _content_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -180,14 +243,19 @@ def _content_batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def read_files(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """All files under a path with their content.
+def read_files(
+    spark: SparkSession, path: str, partitions: int | None = None, skip_pdf: bool = False
+) -> DataFrame:
+    """All files under a path with their content, or its head where no extractor takes it.
 
     A path on a mounted file system is listed exactly. For any other storage Spark's `binaryFile` reader
-    is used, which leaves out hidden and empty files.
+    is used, which leaves out hidden and empty files. Without `partitions` the files are listed once more
+    for the sum of their sizes, and a task gets about BYTES_PER_TASK.
     """
     if "://" in path and not path.startswith("file://"):
         return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = list_files(spark, path)
     if partitions is None:
-        partitions = spark.sparkContext.defaultParallelism * TASKS_PER_CORE
-    return read_listed(list_files(spark, path), partitions)
+        total = files.agg(F.sum("length")).first()[0] or 0
+        partitions = max(spark.sparkContext.defaultParallelism * TASKS_PER_CORE, ceil(total / BYTES_PER_TASK))
+    return read_listed(files, partitions, skip_pdf)

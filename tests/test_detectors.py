@@ -1,8 +1,12 @@
 """Hand-derived cases for each detector: text, and the (value, start) pairs it must give."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
-from piisieve import scan
+from piisieve import RuleDetector, scan
+from piisieve.functions.matches import find_matches
 
 CASES = {
     "RegexEmailScanner": [
@@ -161,3 +165,24 @@ def test_one_value_found_by_two_detectors_gives_two_rows(spark):
 def test_null_and_empty_text_have_no_findings(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "doc_id int, text string")
     assert scan(df, keep=["doc_id"]).count() == 0
+
+
+@pytest.mark.parametrize(
+    "pattern",
+    [r"([a-z]+)\d", r"x?([a-z])[a-z]*\d", r"(?i)A(b|c)?d", r"[(a]([b-d]+)(?:\d|\))", r"(a)a", r"\(?(?<w>b+)c", r"a(b(c)?)d"],
+)
+def test_first_group_anywhere(spark, pattern):
+    texts = ["x12 y ab3", "aa aaa (bc) abd ad ABD acd", "bbc (bbc abcd1 abbd", "", "abd " * 12]
+    readable = pattern.replace("(?<w>", "(?P<w>")
+    expected = [[(m[1], m.start(1)) for m in re.finditer(readable, t) if m[1]] for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = df.select("i", find_matches(F.col("t"), pattern, 1).alias("m")).orderBy("i").collect()
+    assert [[tuple(hit) for hit in r.m] for r in rows] == expected
+
+
+@pytest.mark.parametrize(
+    "pattern,group", [(r"\d*", 0), (r"(a)|b", 1), (r"(?:(a)b)c", 1), (r"(a)+b", 1), (r"(a)b\1", 1), ("a", 1), ("(a)b", 2), (r"a(?i)(b)c", 1)]
+)
+def test_patterns_that_are_refused(pattern, group):
+    with pytest.raises(ValueError):
+        RuleDetector(name="R", pii_type="R", pattern=pattern, group=group)

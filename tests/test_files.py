@@ -1,5 +1,6 @@
 """Listing, routing, decoding and extraction of files in a folder."""
 
+import errno
 import os
 
 import office_files as office
@@ -8,7 +9,9 @@ from pyspark.sql import functions as F
 
 from piisieve import extract_text, list_files, read_files
 from piisieve.schema import DOCUMENT_SCHEMA
+from piisieve.sources import listing
 from piisieve.sources.extract import extension, sniff_mime
+from piisieve.sources.routing import HEAD_BYTES, mime_of_head, suffix_of
 
 DOCX_MIME = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 XLSX_MIME = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"
@@ -188,3 +191,85 @@ def test_extension(spark, path, expected):
 def test_sniff_wide_text(spark):
     row = spark.range(1).select(sniff_mime(F.lit(b"\xff\xfea\x00")).alias("m")).first()
     assert row.m == "text/plain"
+
+
+def rows_in_process(path, folders=16):
+    """The listing as the tasks give it, run here so that faults of the system can be put in their way."""
+    reader = listing.FileListingReader(str(path), folders)
+    return [row for part in reader.partitions() for batch in reader.read(part) for row in batch.to_pylist()]
+
+
+def scandir_with(fault, bad):
+    def scandir(path, real=os.scandir):
+        if os.path.basename(path) == bad:
+            raise fault
+        return real(path)
+
+    return scandir
+
+
+def test_folder_without_permission_keeps_a_row(tmp_path, monkeypatch):
+    (tmp_path / "shut" / "in").mkdir(parents=True)
+    (tmp_path / "f.txt").write_text("t")
+    monkeypatch.setattr(listing.os, "scandir", scandir_with(PermissionError(errno.EACCES, "no"), b"shut"))
+    for folders in (1, 16):
+        rows = {os.path.relpath(r["path"], tmp_path): r["read_error"] for r in rows_in_process(tmp_path, folders)}
+        assert rows == {"f.txt": None, "shut": "沒有足夠的權限讀取檔案"}
+
+
+@pytest.mark.parametrize("folders", [1, 16])
+def test_fault_of_the_storage_is_raised(tmp_path, monkeypatch, folders):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    monkeypatch.setattr(listing.os, "scandir", scandir_with(OSError(errno.EIO, "input/output error"), b"a"))
+    with pytest.raises(OSError, match="input/output"):
+        rows_in_process(tmp_path, folders)
+
+
+def test_many_folders_in_few_partitions(tmp_path):
+    for i in range(3000):
+        (tmp_path / f"d{i}").mkdir()
+    (tmp_path / "d7" / "x").write_text("t")
+    assert len(listing.FileListingReader(str(tmp_path), 16).partitions()) == 16
+    assert [os.path.basename(r["path"]) for r in rows_in_process(tmp_path)] == ["x"]
+
+
+def test_names_of_any_bytes_relative_paths_and_broken_links(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    name = os.fsencode(tmp_path / "in") + "/文件.txt".encode("big5")
+    with open(name, "wb") as file:
+        file.write(b"mail a@b.com")
+    os.symlink("nowhere", tmp_path / "in" / "link.txt")
+    os.symlink("loop.txt", tmp_path / "in" / "loop.txt")
+    monkeypatch.chdir(tmp_path)
+    files = read_files(spark, "in", partitions=2)
+    monkeypatch.chdir("/")
+    rows = {os.path.relpath(r.file_path, tmp_path): (r.status, r.text or r.error_message) for r in extract_text(files).collect()}
+    assert rows == {
+        "in/" + "文件.txt".encode("big5").decode("utf-8", "backslashreplace"): ("COMPLETED", "mail a@b.com"),
+        "in/link.txt": ("ERROR", "路徑不是一個有效的檔案"),
+        "in/loop.txt": ("ERROR", "路徑不是一個有效的檔案"),
+    }
+
+
+def test_only_the_head_of_skipped_files_is_read(spark, tmp_path):
+    size = HEAD_BYTES + 5000
+    (tmp_path / "a.bin").write_bytes(b"\x00\xff" * (size // 2))
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-" + b" " * size)
+    (tmp_path / "c").write_bytes(b"%PDF-" + b" " * size)
+    (tmp_path / "d").write_bytes(b"t" * size + b"\x00")
+    files = read_files(spark, str(tmp_path), skip_pdf=True)
+    sizes = {os.path.basename(r.path): len(r.content) for r in files.select("path", "content").collect()}
+    assert sizes == {"a.bin": HEAD_BYTES, "b.pdf": HEAD_BYTES, "c": HEAD_BYTES, "d": size + 1}
+    found = {os.path.basename(r.file_path): (r.status, r.file_size_bytes) for r in extract_text(files).collect()}
+    assert found == {"a.bin": ("SKIPPED", size), "b.pdf": ("SKIPPED", size + 5), "c": ("SKIPPED", size + 5), "d": ("COMPLETED", size + 1)}
+    whole = read_files(spark, str(tmp_path)).select("path", "content").collect()
+    assert {os.path.basename(r.path): len(r.content) for r in whole}["c"] == size + 5
+
+
+def test_both_ways_to_tell_a_type_agree(spark, documents):
+    heads = [content for content, *_ in FILES.values()] + [b"\xff\xfea\x00", b"PK\x03\x04xl/", b"a\x1b[0m", b"a\x1fb", b"\x7f"]
+    df = spark.createDataFrame([(bytearray(h),) for h in heads], "c binary")
+    assert [r.m for r in df.select(sniff_mime(F.col("c")).alias("m")).collect()] == [mime_of_head(h) for h in heads]
+    paths = list(FILES) + ["/x/.env", "/dir.x/file", "/x/a.", "/x/..txt", "/x/a.b c", "/x/a.TXT"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert [r.e for r in df.select(extension(F.col("p")).alias("e")).collect()] == [suffix_of(p) for p in paths]

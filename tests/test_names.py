@@ -1,6 +1,8 @@
 """The name detector: chunks, joined entities, de-duplication, scores."""
 
+import os
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +150,19 @@ def test_detector_is_only_registered_with_a_predictor():
     assert "NlpNameScanner" in [d.name for d in default_registry(gazetteer).all()]
     with pytest.raises(TypeError):
         NameDetector()
+
+
+def test_predictor_is_loaded_once_per_worker(spark, tmp_path):
+    log = str(tmp_path / "loads")
+
+    def factory():
+        with open(log, "a") as file:
+            file.write(f"{os.getpid()}\n")
+        return lambda chunks: [[] for _ in chunks]
+
+    df = spark.range(64).selectExpr("id AS doc_id", "'text' AS text").repartition(32)
+    detector = NameDetector(predictor_factory=factory)
+    for _ in range(2):
+        scan(df, keep=["doc_id"], detectors=[detector]).collect()
+    loads = Path(log).read_text().split()
+    assert len(loads) == len(set(loads)) <= 16
