@@ -247,6 +247,44 @@ def own_python_function(spark, sf_dir):
     return scan(documents(spark, sf_dir), keep=["doc_id"], detectors=[detector])
 
 
+GROUP_RULE = RuleDetector(
+    name="GroupScanner", pii_type="LETTERS", pattern="[0-9]([a-z]+)[0-9]", group=1, window=10, score=0.5
+)
+
+
+def own_group(spark, sf_dir):
+    """A rule whose group ends before the match does."""
+    return scan(documents(spark, sf_dir), keep=["doc_id"], detectors=[GROUP_RULE])
+
+
+def find_by_suffix(text: str, row: dict) -> Iterator[dict]:
+    for finding in find_long_numbers(text):
+        yield finding | {"confidence_score": 0.9 if row["path"].endswith(".csv") else 0.3}
+
+
+def own_python_context(spark, sf_dir):
+    """A Python function that scores by the suffix of the file's path."""
+    detector = PythonDetector(
+        name="LongNumberScanner", pii_type="LONG_NUMBER", scan=find_by_suffix, columns=["path"]
+    )
+    files = documents(spark, sf_dir).withColumn("path", _file_path())
+    return scan(files, keep=["doc_id"], detectors=[detector])
+
+
+def find_or_fail(text: str, row: dict) -> list[dict]:
+    if row["doc_id"] % 7 == 3:
+        raise ValueError("this text cannot be scanned")
+    return list(find_long_numbers(text))
+
+
+def own_python_failing(spark, sf_dir):
+    """A Python function that raises for some texts, beside a rule that does not."""
+    detector = PythonDetector(
+        name="LongNumberScanner", pii_type="LONG_NUMBER", scan=find_or_fail, columns=["doc_id"]
+    )
+    return scan(documents(spark, sf_dir), keep=["doc_id"], detectors=[detector, HEX_RULE])
+
+
 # ---- Report --------------------------------------------------------------------------------------------
 
 
@@ -462,6 +500,22 @@ def report_gate(spark, sf_dir):
     return scan_totals(scan_documents(documents))
 
 
+def report_not_due(spark, sf_dir):
+    """Totals where no finding makes up for the files that failed."""
+    documents = extract_text(_with_broken_reads(_mixed_files(spark, sf_dir)))
+    return scan_totals(scan_documents(documents, ["NoSuchScanner"]))
+
+
+def legacy_text(spark, sf_dir):
+    """Text files that only one of the three legacy encodings fits, after those tried before it."""
+    key = F.col("o_orderkey")
+    digits = key.cast("string").cast("binary")
+    prefix = _branches(3, F.lit("電話 ".encode("big5")), F.lit("丂 ".encode("gbk")), F.lit("é".encode("latin-1")))
+    path = F.concat(F.lit("/in/"), key, F.lit(".txt"))
+    orders = table(spark, sf_dir, "orders", "o_orderkey")
+    return extract_text(_as_files(orders, path, F.concat(prefix, digits))).select("doc_id", "status", "text")
+
+
 WORD_NS = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 SHEET_NS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 RELATIONS_NS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -586,6 +640,9 @@ QUERIES: dict[str, Query] = {
     "digit_contexts": digit_contexts,
     "own_rule": own_rule,
     "own_python_function": own_python_function,
+    "own_group": own_group,
+    "own_python_context": own_python_context,
+    "own_python_failing": own_python_failing,
     "report": report,
     "risk_tiers": risk_tiers,
     "masked": masked,
@@ -602,6 +659,8 @@ QUERIES: dict[str, Query] = {
     "files_scanned": files_scanned,
     "only_completed_files": only_completed_files,
     "report_gate": report_gate,
+    "report_not_due": report_not_due,
+    "legacy_text": legacy_text,
     "word_files": office_query(".docx", word_file),
     "workbook_files": office_query(".xlsx", workbook_file),
     "folder_listing": folder_listing,

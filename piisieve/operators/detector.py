@@ -6,10 +6,11 @@ the scan works out the offsets of all pattern detectors' matches with one expres
 """
 
 import logging
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -149,6 +150,14 @@ RAW_FINDING = (
     "matched_value string, confidence_score double, validation_status string, "
     "context string, location string, start_pos int"
 )
+RAW_FINDING_TYPE = pa.list_(
+    pa.struct(
+        [
+            ("matched_value", pa.string()), ("confidence_score", pa.float64()), ("validation_status", pa.string()),
+            ("context", pa.string()), ("location", pa.string()), ("start_pos", pa.int32()),
+        ]
+    )
+)
 
 
 @dataclass(frozen=True)
@@ -156,14 +165,17 @@ class PythonDetector(Detector):
     """A detector written as a Python function from a text to its findings.
 
     `scan(text)` returns mappings with `matched_value`, `confidence_score` and `start_pos`, and
-    optionally `context`, `location` and `validation_status`. It runs in Arrow batches on the executors.
+    optionally `context`, `location` and `validation_status`. With `columns`, the function is called as
+    `scan(text, row)` with a mapping of these columns of the text's row, such as `file_path`, `mime_type` and
+    `file_size_bytes` of scanned files. It runs in Arrow batches on the executors.
     If it raises, or gives a score outside 0 to 1, this detector has no findings for that text; other
     detectors and other texts are unaffected.
     """
 
-    scan: Callable[[str], Iterable[Mapping]] | None = None
+    scan: Callable[..., Iterable[Mapping]] | None = None
     window: int = 10
     guards: Sequence[Callable[[Column], Column]] = ()
+    columns: Sequence[str] = ()
 
     def __post_init__(self) -> None:
         super().__post_init__()
@@ -172,14 +184,26 @@ class PythonDetector(Detector):
 
     def candidates(self, text: Column) -> Column:
         scan, name = self.scan, self.name
+        kind = f"array<struct<{RAW_FINDING.replace(' ', ':').replace(',:', ',')}>>"
 
-        @F.pandas_udf(f"array<struct<{RAW_FINDING.replace(' ', ':').replace(',:', ',')}>>")
+        @F.pandas_udf(kind)
         def run(texts: pd.Series) -> pd.Series:
             return texts.map(lambda value: None if value is None else _run_scan(scan, name, value))
 
+        @F.arrow_udf(kind)
+        def run_with_row(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for texts, rows in batches:
+                found = [
+                    None if text is None else _run_scan(scan, name, text, row)
+                    for text, row in zip(texts.to_pylist(), rows.to_pylist(), strict=True)
+                ]
+                yield pa.array(found, RAW_FINDING_TYPE)
+
         # Texts that fail a guard are sent as NULL, so they never cross to Python.
         for guard in self.guards:
             text = F.when(guard(text), text)
+        if self.columns:
+            return run_with_row(text, F.struct(*self.columns))
         return run(text)
 
     def findings(
@@ -204,10 +228,10 @@ class PythonDetector(Detector):
         return F.when(F.size(candidates) > 0, F.transform(candidates, row)).otherwise(no_findings())
 
 
-def _run_scan(scan: Callable, name: str, text: str) -> list[dict]:
+def _run_scan(scan: Callable, name: str, *args) -> list[dict]:
     try:
         rows = []
-        for item in scan(text) or ():
+        for item in scan(*args) or ():
             score = float(item["confidence_score"])
             if not 0.0 <= score <= 1.0:
                 raise ValueError(f"confidence score {score} is outside 0 to 1")

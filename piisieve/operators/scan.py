@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.matches import LONG_TEXT, start_offsets, text_blocks
 from ..schema import FINDING_STRUCT
-from .detector import Detector, RuleDetector, no_findings
+from .detector import Detector, PythonDetector, RuleDetector, no_findings
 from .registry import default_registry
 
 _CANDIDATES = "_candidates_"
@@ -104,6 +104,8 @@ def scan(
     `keep` names the columns that identify the row; they are carried to each of its findings.
     `detectors` are names of built-in detectors or detector records; none given means all built-in ones.
     """
-    columns = list(dict.fromkeys([*keep, text_col]))
+    detectors = list(detectors or ())
+    asked = [c for d in _chosen(detectors) if isinstance(d, PythonDetector) for c in d.columns]
+    columns = list(dict.fromkeys([*keep, text_col, *asked]))
     found = with_findings(df.select(*columns), text_col, detectors)
     return flatten_findings(found, keep)
