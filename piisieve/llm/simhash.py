@@ -10,7 +10,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from piisieve.llm.common import written
@@ -26,26 +26,35 @@ HEAVY_SHARE = 1000
 _BITS_AT_ONCE = 1 << 16
 
 
-def simhash(text: str | None) -> int:
-    """64-bit fingerprint of the word shingles; of all words if there are fewer than a shingle, 0 if there are none."""
+def shingle_hashes(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
+    """Hashes of the word shingles in order; of all words if there are fewer than a shingle, none if there are none."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     tokens = (text or "").encode().lower().split()
     n = len(tokens)
-    if n <= SHINGLE_WORDS:
-        return digest(b" ".join(tokens), SEED) if n else 0
     joined = b" ".join(tokens)
+    if n <= shingle_words:
+        return np.array([digest(joined, SEED)] if n else [], "<u8")
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    last = n - SHINGLE_WORDS + 1
-    spans = zip(starts[:last].tolist(), ends[SHINGLE_WORDS - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), "<u8", last)
+    last = n - shingle_words + 1
+    spans = zip(starts[:last].tolist(), ends[shingle_words - 1 :].tolist(), strict=True)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), "<u8", last)
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; 0 if there are none."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, last, _BITS_AT_ONCE):
-        part = hashes[at : at + _BITS_AT_ONCE].view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(hashes), _BITS_AT_ONCE):
+        part = np.ascontiguousarray(hashes[at : at + _BITS_AT_ONCE], "<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > last, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def simhash(text: str | None) -> int:
+    """64-bit fingerprint of the word shingles; of all words if there are fewer than a shingle, 0 if there are none."""
+    return majority_bits(shingle_hashes(text))
 
 
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,19 +186,6 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return light.unionByName(dense).select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
-def one_per_group(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `df`, with all their columns, whose id is the smallest of its group of near duplicates.
-
-    Of rows with one id one stays, that whose text has the lowest hash. Rows without an id stay as they are.
-    """
-    found = near_duplicates(df, id_col=id_col, text_col=text_col).where(F.col(id_col) == F.col("component_id"))
-    keepers = found.select(F.col(id_col).alias("id")).distinct()
-    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.struct("*").alias("row"))
-    first = F.row_number().over(Window.partitionBy("id").orderBy("hash"))
-    kept = rows.join(keepers, "id", "left_semi").withColumn("copy", first).where("copy = 1").select("row.*")
-    return kept.unionByName(rows.where("id is null").select("row.*"))
-
-
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from piisieve.llm import bpe, fingerprints, lm_scoring, packing, quality_rules, simhash, substrings, url_filters
+from piisieve.llm import bpe, fingerprints, lm_scoring, near_copies, packing, quality_rules, simhash, substrings, url_filters
 from piisieve.llm import quality_classifier as classifier
 from piisieve.llm.components import connected_components
 from piisieve.llm.pretokens import Pretokenizer
@@ -148,11 +149,74 @@ def test_tiles_connect_what_links_connect(spark, tile):
 
 
 def test_one_document_of_each_group_stays(odd):
-    kept = simhash.one_per_group(odd)
+    kept = near_copies.one_per_group(odd)
     assert kept.columns == odd.columns
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(None) == 2
-    assert sorted(i for i in ids if i is not None) == [0, 3, 4, 5, 6, 8, 9, 10, 11, 12, 13, 14, 15]
+    assert sorted(i for i in ids if i is not None) == [0, 3, 4, 5, 6, 8, 11, 12, 13, 14, 15]
+
+
+def plain_near_copies(rows):
+    """The smallest id of each chain of texts that share 0.8 of their shingles of five words."""
+    sets = {}
+    for d, t in rows:
+        ws = words(lower(t))
+        sets[d] = frozenset(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))) if ws else frozenset()
+    group = {d: d for d in sets}
+
+    def top(d):
+        while group[d] != d:
+            d = group[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                group[max(top(a), top(b))] = min(top(a), top(b))
+    return sorted(d for d in sets if top(d) == d)
+
+
+def test_near_copies_are_those_of_the_shingles(spark, sf_texts):
+    draw = random.Random(7)
+    rows = [(d, t) for d, t in sorted(sf_texts.items()) if t]
+    long_ones = [t for _, t in rows if len(t.split()) > 60]
+    for _ in range(150):  # from one changed word in a text to one in twelve, which is on both sides of 0.8; copies of copies too
+        ws = draw.choice(long_ones).split()
+        for at in draw.sample(range(len(ws)), max(1, len(ws) // draw.choice([12, 25, 40, 50, 60, 100, 1000]))):
+            ws[at] = f"changed{draw.random()}"
+        text = " ".join(ws)
+        rows.append((100_000 + len(rows), text))
+        long_ones.append(text)
+    rows += [(200_000 + i, f"{long_ones[0]} end{i}") for i in range(60)]  # one large group
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected = plain_near_copies(rows)
+    assert len(expected) < len(rows) - 100
+    assert sorted(r.doc_id for r in near_copies.one_per_group(df).collect()) == expected
+
+
+def test_tiles_do_not_change_candidates(spark, sf_texts):
+    draw = np.random.default_rng(3)
+    first = draw.integers(0, 1 << 63, 40)
+    rows = [(i, 100 + i % 30, int(first[i % 40] ^ (1 << (i % 50))), int(first[i % 40])) for i in range(400)]
+    nodes = spark.createDataFrame(rows, "id long, size long, first long, second long")
+    expected = {
+        (a[0], b[0]) for a in rows for b in rows
+        if a[0] < b[0] and a[0] % 40 == b[0] % 40 and 5 * min(a[1], b[1]) >= 4 * max(a[1], b[1])
+    }
+
+    def components(pairs):
+        group = {r[0]: {r[0]} for r in rows}
+        for a, b in pairs:
+            if group[a] is not group[b]:
+                group[a] |= group[b]
+                for n in group[b]:
+                    group[n] = group[a]
+        return {frozenset(g) for g in group.values()}
+
+    for tile in (40, 1000):
+        found = [(r.a, r.b) for r in near_copies.candidate_pairs(nodes, tile=tile).collect()]
+        assert {(min(p), max(p)) for p in found} <= expected
+        assert components(found) == components(expected)
 
 
 # ---- Substrings -----------------------------------------------------------------------------------
