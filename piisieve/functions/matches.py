@@ -13,6 +13,8 @@ from .arrays import exclusive_sums, let
 LONG_TEXT = 65536
 TEXT_BLOCK = 1024
 
+HITS_TYPE = "array<struct<value:string,start:int>>"
+
 # Up to this many matches of a text are located by plain search.
 FEW_MATCHES = 8
 
@@ -51,9 +53,7 @@ def hits_at(text: Column, pattern: str, wholes: Column, starts: Column, group: i
     unless the pattern ends with it. See `around_group` for the patterns that are taken.
     """
     if group == 0:
-        return F.zip_with(
-            wholes, starts, lambda whole, start: F.struct(whole.alias("value"), start.alias("start"))
-        )
+        return F.arrays_zip(wholes.alias("value"), starts.alias("start")).cast(HITS_TYPE)
 
     flags, prefix, inner, rest = around_group(pattern)
     if not rest:
@@ -148,7 +148,7 @@ def find_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return let(
         whole_matches(text, pattern),
         lambda wholes: F.when(F.size(wholes) > 0, located(wholes)).otherwise(
-            F.array().cast("array<struct<value:string,start:int>>")
+            F.array().cast(HITS_TYPE)
         ),
     )
 
@@ -172,7 +172,7 @@ def slice_text(text: Column, blocks: Column | None, start: Column, length: Colum
 
 
 def context_window(
-    text: Column, start: Column, length: Column, window: int, blocks: Column | None = None
+    text: Column, start: Column, length: Column, window: int | Column, blocks: Column | None = None
 ) -> Column:
     """The match with up to `window` characters on each side."""
     begin = F.greatest(start - window, F.lit(0))

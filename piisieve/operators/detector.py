@@ -28,20 +28,9 @@ def no_findings() -> Column:
     return F.array().cast(FINDINGS_TYPE)
 
 
-def finding(
-    pii_type: str,
-    value: Column,
-    score: Column,
-    source: str,
-    validation: str,
-    context: Column,
-    location: Column,
-    start: Column,
-) -> Column:
-    """One element of the findings array."""
-    fields = [F.lit(pii_type), value, score, F.lit(source), F.lit(validation), context, location]
-    fields.append(start.cast("int"))
-    return F.struct(*[c.alias(f.name) for c, f in zip(fields, FINDING_STRUCT.fields, strict=True)])
+def finding_fields(*columns: Column) -> list[Column]:
+    """The columns of a finding, in the order of FINDING_STRUCT, with its names and types."""
+    return [c.cast(f.dataType).alias(f.name) for c, f in zip(columns, FINDING_STRUCT.fields, strict=True)]
 
 
 @dataclass(frozen=True)
@@ -116,31 +105,44 @@ class RuleDetector(Detector):
     def findings(
         self, text: Column, candidates: Column, starts: Column | None, blocks: Column
     ) -> Column:
-        hits = hits_at(text, self.pattern, candidates, starts, self.group)
+        hits = self.hits(text, candidates, starts)
         if self.validator is not None:
             validator = self.validator
             hits = F.filter(hits, lambda hit: validator(hit["value"]))
         rows = F.transform(hits, lambda hit: self._finding(text, hit, blocks))
         return F.when(F.size(candidates) > 0, rows).otherwise(no_findings())
 
+    def hits(self, text: Column, candidates: Column, starts: Column) -> Column:
+        """`array<struct<value, start>>` of the candidates; the checksum has not been looked at."""
+        return hits_at(text, self.pattern, candidates, starts, self.group)
+
+    @property
+    def validation(self) -> str:
+        return "NOT_APPLICABLE" if self.validator is None else "VALID"
+
+    def score_of(self, context: Column) -> Column:
+        if self.positive or self.negative:
+            return keyword_score(context, self.score, self.positive, self.negative, self.ignore_case)
+        return F.lit(float(self.score))
+
+    def location_of(self, start: Column) -> Column:
+        return location_label(start) if self.has_location else F.lit(None).cast("string")
+
     def _finding(self, text: Column, hit: Column, blocks: Column) -> Column:
         value, start = hit["value"], hit["start"]
 
         def row(context: Column) -> Column:
-            score = F.lit(float(self.score))
-            if self.positive or self.negative:
-                score = keyword_score(
-                    context, self.score, self.positive, self.negative, self.ignore_case
+            return F.struct(
+                *finding_fields(
+                    F.lit(self.pii_type),
+                    value,
+                    self.score_of(context),
+                    F.lit(self.name),
+                    F.lit(self.validation),
+                    context,
+                    self.location_of(start),
+                    start,
                 )
-            return finding(
-                self.pii_type,
-                value,
-                score,
-                self.name,
-                "NOT_APPLICABLE" if self.validator is None else "VALID",
-                context,
-                location_label(start) if self.has_location else F.lit(None).cast("string"),
-                start,
             )
 
         return let(context_window(text, start, F.length(value), self.window, blocks), row)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import first_per_key, let
 from ..functions.matches import context_window, location_label
 from ..functions.validators import is_not_blank
-from .detector import Detector, finding, no_findings
+from .detector import Detector, finding_fields, no_findings
 
 log = logging.getLogger(__name__)
 
@@ -160,15 +160,17 @@ class NameDetector(Detector):
         self, text: Column, candidates: Column, starts: Column | None, blocks: Column
     ) -> Column:
         def row(e: Column) -> Column:
-            return finding(
-                self.pii_type,
-                e["word"],
-                e["score"],
-                self.name,
-                "NOT_APPLICABLE",
-                context_window(text, e["start"], F.length(e["word"]), NAME_WINDOW, blocks),
-                location_label(e["start"]),
-                e["start"],
+            return F.struct(
+                *finding_fields(
+                    F.lit(self.pii_type),
+                    e["word"],
+                    e["score"],
+                    F.lit(self.name),
+                    F.lit("NOT_APPLICABLE"),
+                    context_window(text, e["start"], F.length(e["word"]), NAME_WINDOW, blocks),
+                    location_label(e["start"]),
+                    e["start"],
+                )
             )
 
         rows = let(

@@ -5,14 +5,15 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.matches import LONG_TEXT, start_offsets, text_blocks
+from ..functions.matches import HITS_TYPE, LONG_TEXT, context_window, start_offsets, text_blocks
 from ..schema import FINDING_STRUCT
-from .detector import Detector, PythonDetector, RuleDetector, no_findings
+from .detector import Detector, PythonDetector, RuleDetector, finding_fields, no_findings
 from .registry import default_registry
 
 _CANDIDATES = "_candidates_"
 _STARTS = "_starts"
 _BLOCKS = "_text_blocks"
+_RULE, _HITS, _VALUE, _START, _CONTEXT = "_rule", "_hits", "_value", "_start", "_context"
 
 
 def _chosen(detectors: Iterable[str | Detector] | None) -> list[Detector]:
@@ -44,29 +45,15 @@ def _all_starts(text: Column, detectors: Sequence[tuple[RuleDetector, Column]])
     )
 
 
-def with_findings(
-    df: DataFrame,
-    text_col: str = "text",
-    detectors: Iterable[str | Detector] | None = None,
-    output_col: str = "findings",
-) -> DataFrame:
-    """Add the array of all findings in each row's text.
+def _measured(df: DataFrame, text: Column, chosen: Sequence[Detector]) -> tuple[DataFrame, list[Column], list[Column | None]]:
+    """df with what each detector found, the offsets and the text in blocks; the first two per detector as columns.
 
-    Every detector reads the text in the same pass and nothing is shuffled. The projections stay apart
-    in the plan because each column of one is used several times in the next. The last step is an
-    explode of one element, which gives one row per row: the optimizer moves a condition on `findings`
-    no further down than that, where it would otherwise run every pattern a second time.
+    The projections stay apart in the plan because each column of one is used several times in the next.
     """
-    chosen = _chosen(detectors)
-    text = F.col(text_col)
-    if not chosen:
-        return df.withColumn(output_col, no_findings())
-
     columns = [F.col(f"{_CANDIDATES}{i}") for i in range(len(chosen))]
     searched = df.select(
         "*", *[d.candidates(text).alias(f"{_CANDIDATES}{i}") for i, d in enumerate(chosen)]
     )
-
     by_pattern = [(d, c) for d, c in zip(chosen, columns, strict=True) if isinstance(d, RuleDetector)]
     any_found = F.lit(False)
     for column in columns:
@@ -77,16 +64,80 @@ def with_findings(
             _BLOCKS: F.when(any_found & (F.length(text) > LONG_TEXT), text_blocks(text)),
         }
     )
+    places = {d.name: F.get(F.col(_STARTS), F.lit(i)) for i, (d, _) in enumerate(by_pattern)}
+    return measured, columns, [places.get(d.name) for d in chosen]
+
+
+def with_findings(
+    df: DataFrame,
+    text_col: str = "text",
+    detectors: Iterable[str | Detector] | None = None,
+    output_col: str = "findings",
+) -> DataFrame:
+    """Add the array of all findings in each row's text.
+
+    Every detector reads the text in the same pass and nothing is shuffled. The last step is an
+    explode of one element, which gives one row per row: the optimizer moves a condition on `findings`
+    no further down than that, where it would otherwise run every pattern a second time.
+    """
+    chosen = _chosen(detectors)
+    text = F.col(text_col)
+    if not chosen:
+        return df.withColumn(output_col, no_findings())
 
-    starts = {d.name: F.get(F.col(_STARTS), F.lit(i)) for i, (d, _) in enumerate(by_pattern)}
+    measured, columns, starts = _measured(df, text, chosen)
     parts: list[Column] = [
-        d.findings(text, column, starts.get(d.name), F.col(_BLOCKS))
-        for d, column in zip(chosen, columns, strict=True)
+        d.findings(text, column, start, F.col(_BLOCKS))
+        for d, column, start in zip(chosen, columns, starts, strict=True)
     ]
     findings = F.explode(F.array(F.concat(*parts))).alias(output_col)
     return measured.select(*[F.col(c) for c in df.columns], findings)
 
 
+def _hits(df: DataFrame, text_col: str, keep: Sequence[str], rules: Sequence[RuleDetector]) -> DataFrame:
+    """One row per finding of rule detectors.
+
+    The hits are unfolded first, so that contexts, checksums and scores are plain columns in generated code
+    and not expressions inside lambdas over an array.
+    """
+    text = F.col(text_col)
+    measured, columns, starts = _measured(df, text, rules)
+    hits = [
+        F.when(F.size(c) > 0, d.hits(text, c, s)).otherwise(F.array().cast(HITS_TYPE))
+        for d, c, s in zip(rules, columns, starts, strict=True)
+    ]
+    found = F.inline(F.array(*[F.struct(F.lit(i), h) for i, h in enumerate(hits)])).alias(_RULE, _HITS)
+    carried = list(dict.fromkeys([*keep, text_col]))
+    rows = measured.select(*carried, _BLOCKS, found)
+    rows = rows.select(*carried, _BLOCKS, _RULE, F.inline(_HITS).alias(_VALUE, _START))
+
+    def by_rule(values: Sequence[Column]) -> Column:
+        """The value for the row's detector."""
+        chosen = values[-1]
+        for i in range(len(values) - 2, -1, -1):
+            chosen = F.when(F.col(_RULE) == i, values[i]).otherwise(chosen)
+        return chosen
+
+    value, start = F.col(_VALUE), F.col(_START)
+    if any(d.validator is not None for d in rules):
+        rows = rows.where(by_rule([F.lit(True) if d.validator is None else d.validator(value) for d in rules]))
+    window = by_rule([F.lit(d.window) for d in rules])
+    around = context_window(text, start, F.length(value), window, F.col(_BLOCKS))
+    rows = rows.select(*keep, _RULE, _VALUE, _START, around.alias(_CONTEXT))
+    context = F.col(_CONTEXT)
+    fields = finding_fields(
+        by_rule([F.lit(d.pii_type) for d in rules]),
+        value,
+        by_rule([d.score_of(context) for d in rules]),
+        by_rule([F.lit(d.name) for d in rules]),
+        by_rule([F.lit(d.validation) for d in rules]),
+        context,
+        by_rule([d.location_of(start) for d in rules]),
+        start,
+    )
+    return rows.select(*keep, *fields)
+
+
 def flatten_findings(df: DataFrame, keep: Sequence[str], findings_col: str = "findings") -> DataFrame:
     """One row per finding with the `keep` columns in front."""
     names = [field.name for field in FINDING_STRUCT.fields]
@@ -107,5 +158,8 @@ def scan(
     detectors = list(detectors or ())
     asked = [c for d in _chosen(detectors) if isinstance(d, PythonDetector) for c in d.columns]
     columns = list(dict.fromkeys([*keep, text_col, *asked]))
+    chosen = _chosen(detectors)
+    if chosen and all(type(d) is RuleDetector for d in chosen):
+        return _hits(df.select(*columns), text_col, keep, chosen)
     found = with_findings(df.select(*columns), text_col, detectors)
     return flatten_findings(found, keep)
