@@ -79,12 +79,19 @@ def python_luhn(text):
     return sum(sum(divmod(d * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
 
 
+# The number that stands for each first letter.
+LETTER_CODES = {
+    "A": 10, "B": 11, "C": 12, "D": 13, "E": 14, "F": 15, "G": 16, "H": 17, "I": 34,
+    "J": 18, "K": 19, "L": 20, "M": 21, "N": 22, "O": 35, "P": 23, "Q": 24, "R": 25,
+    "S": 26, "T": 27, "U": 28, "V": 29, "W": 32, "X": 30, "Y": 31, "Z": 33,
+}
+
+
 def python_national_id(text):
     text = text.strip().upper()
     if not re.fullmatch(r"[A-Z][12]\d{8}", text):
         return False
-    order = "ABCDEFGHJKLMNPQRSTUVXYWZIO"  # in order of their codes, 10 to 35
-    code = 10 + order.index(text[0])
+    code = LETTER_CODES[text[0]]
     total = code // 10 + code % 10 * 9 + int(text[9])
     return (total + sum(int(text[i]) * (9 - i) for i in range(1, 9))) % 10 == 0
 
