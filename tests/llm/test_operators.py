@@ -194,6 +194,37 @@ def test_near_copies_are_those_of_the_shingles(spark, sf_texts):
     assert sorted(r.doc_id for r in near_copies.one_per_group(df).collect()) == expected
 
 
+def test_failed_links_of_a_chain_hide_no_near_copy(spark):
+    """One template, and variants that share 0.85 with it and 0.72 with each other: chains of near bits mostly fail the check."""
+    draw = random.Random(11)
+    template = [f"t{i}" for i in range(304)]  # 300 shingles
+    rows = []
+    for n in range(800):
+        ws = list(template)
+        for at in draw.sample(range(10, 290, 5), 5):  # each takes five shingles of its own, so that 275 of 325 are shared
+            ws[at] = f"v{n}x{at}"
+        rows.append((n, " ".join(ws)))
+    rows.append((-1, " ".join(template)))
+    rows.append((1000, " ".join(f"other{i}" for i in range(304))))
+    expected = plain_near_copies(rows)
+    assert expected == [-1, 1000]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in near_copies.one_per_group(df).collect()) == expected
+
+
+def test_tiles_do_not_change_pairs_in_chains(spark):
+    draw = np.random.default_rng(5)
+    rows = [(n, 100 + n % 30, int(1 << (n % 50)), int(draw.integers(0, 1 << 40)) & 0x1111, n % 3, n % 7) for n in range(120)]
+    nodes = spark.createDataFrame(rows, "id long, size long, first long, second long, chain long, group long")
+    expected = {
+        (a[0], b[0], (a[2] ^ b[2]).bit_count() + (a[3] ^ b[3]).bit_count()) for a in rows for b in rows
+        if a[0] < b[0] and a[4] == b[4] and a[5] != b[5] and 5 * min(a[1], b[1]) >= 4 * max(a[1], b[1])
+    }
+    for tile in (7, 1000):
+        found = [(min(r.a, r.b), max(r.a, r.b), r.bits) for r in near_copies.pairs_in_chains(nodes, tile=tile).collect()]
+        assert len(found) == len(set(found)) and set(found) == expected
+
+
 def test_tiles_do_not_change_candidates(spark, sf_texts):
     draw = np.random.default_rng(3)
     first = draw.integers(0, 1 << 63, 40)
