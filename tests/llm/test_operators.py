@@ -212,6 +212,14 @@ def test_failed_links_of_a_chain_hide_no_near_copy(spark):
     assert sorted(r.doc_id for r in near_copies.one_per_group(df).collect()) == expected
 
 
+def test_each_text_of_an_id_counts(spark):
+    """Two unlike texts with one id both stay, and what is near to either of them goes."""
+    one, two = (" ".join(f"{c}{i}" for i in range(100)) for c in "xy")
+    rows = [(1, one), (1, two), (1, two), (2, f"{one} end"), (3, f"{two} end"), (4, "something else"), (None, one)]
+    kept = near_copies.one_per_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(kept, "doc_id", "text") == Counter([(1, one), (1, two), (4, "something else"), (None, one)])
+
+
 def test_tiles_do_not_change_pairs_in_chains(spark):
     draw = np.random.default_rng(5)
     rows = [(n, 100 + n % 30, int(1 << (n % 50)), int(draw.integers(0, 1 << 40)) & 0x1111, n % 3, n % 7) for n in range(120)]
