@@ -107,9 +107,13 @@ def _odd_word_length(text: Column) -> Column:
     return let(spaced(text), odd)
 
 
-def _per_chars(pattern: str, chars: int) -> Callable[[Column], Column]:
-    """Whether the pattern matches more than once per so many characters."""
-    return lambda text: chars * F.regexp_count(text, F.lit(pattern)) > F.length(text)
+def _per_words(pattern: str) -> Callable[[Column], Column]:
+    """Whether the pattern matches more than 0.2 times per word. Words are counted only where it matches at all."""
+
+    def rejects(text: Column) -> Column:
+        return let(F.regexp_count(text, F.lit(pattern)), lambda n: F.when(n > 0, 10 * n > 2 * n_words(text)))
+
+    return rejects
 
 
 BASE_RULES = [
@@ -117,11 +121,11 @@ BASE_RULES = [
     Rule("repeated words", lambda text: 100 * n_repeat_words(text) > REPEAT_PERCENT * n_words(text)),
 ]
 METHOD_RULES = [
-    Rule("symbols", _per_chars(r"[#*$%&|<>]", 30)),
+    Rule("symbols", _per_words(r"[#*$%&|<>]")),
     Rule("repeated lines", lambda text: 10 * n_dup_lines(text) > 3 * F.size(lines_with_words(text))),
     Rule("word length", _odd_word_length),
-    Rule("shouting", _per_chars("[!?]{2,}", 30)),
-    Rule("capitals", _per_chars(r"\p{Lu}", 2)),
+    Rule("shouting", _per_words("[!?]{2,}")),
+    Rule("capitals", lambda text: 2 * F.regexp_count(text, F.lit(r"\p{Lu}")) > word_chars(text)),
 ]
 
 

@@ -411,6 +411,22 @@ def plain_rules(text):
     )
 
 
+def test_rules_count_words_and_not_white_space(spark):
+    """Symbols and shouting per word, capitals per character of a word, however wide the padding."""
+    wide, long_word = " " * 60, "abcdefghijkl"
+    texts = {
+        "symbols": [wide.join(["ab", "cd", "#"] * 5), " ".join([long_word, long_word, f"{long_word}#"] * 5)],
+        "shouting": [wide.join(["ab", "cd", "no!!"] * 5), " ".join([long_word, long_word, f"{long_word}!!"] * 5)],
+        "capitals": [wide.join(["ABc", "DEf", "GHi"] * 5)],
+    }
+    # One symbol in six words, which is too few per word, though the words are short.
+    fine = {"symbols": "a b c d e f# " * 3, "shouting": "a b c d e f!! " * 3, "capitals": "Ab Cd Ef " * 5}
+    rejects = {rule.name: rule.rejects(F.col("text")) for rule in quality_rules.METHOD_RULES}
+    for name, bad in texts.items():
+        df = spark.createDataFrame([*((t, True) for t in bad), (fine[name], False)], "text string, bad boolean")
+        assert [r.text for r in df.where(rejects[name] != F.col("bad")).collect()] == [], name
+
+
 RULES = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
