@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from piisieve.llm.bpe import op4_bpe
 from piisieve.llm.fingerprints import op9_fingerprints
+from piisieve.llm.licenses import op11_license_scans
 from piisieve.llm.lm_scoring import op1_lm_scoring
 from piisieve.llm.packing import op7_packing
 from piisieve.llm.quality_classifier import op6_quality_classifier
@@ -26,5 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_fingerprints": op9_fingerprints,
     "op10_url_filters": op10_url_filters,
+    "op11_license_scans": op11_license_scans,
 }
 ORACLES = {"op10_url_filters": OP10_SQL}
