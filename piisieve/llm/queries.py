@@ -9,6 +9,7 @@ from piisieve.llm.fingerprints import op9_fingerprints
 from piisieve.llm.licenses import op11_license_scans
 from piisieve.llm.lm_scoring import op1_lm_scoring
 from piisieve.llm.packing import op7_packing
+from piisieve.llm.periodic_runs import op12_periodic_runs
 from piisieve.llm.quality_classifier import op6_quality_classifier
 from piisieve.llm.quality_rules import op5_quality_rules
 from piisieve.llm.simhash import op2_simhash
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_url_filters": op10_url_filters,
     "op11_license_scans": op11_license_scans,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLES = {"op10_url_filters": OP10_SQL}
