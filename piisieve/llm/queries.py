@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from piisieve.llm.bpe import op4_bpe
+from piisieve.llm.conversations import op13_conversation_repair
 from piisieve.llm.fingerprints import op9_fingerprints
 from piisieve.llm.licenses import op11_license_scans
 from piisieve.llm.lm_scoring import op1_lm_scoring
@@ -30,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filters": op10_url_filters,
     "op11_license_scans": op11_license_scans,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES = {"op10_url_filters": OP10_SQL}
