@@ -7,7 +7,6 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import let
 from .patterns import DIGIT, SPACE
 
 # The two-digit code of each first letter, and the weight of each of the eleven digits.
@@ -54,21 +53,18 @@ def luhn_valid(text: Column) -> Column:
 
 
 def national_id_valid(text: Column) -> Column:
-    """One letter, 1 or 2, eight digits, and a weighted digit sum divisible by ten; false for NULL."""
+    """One letter, 1 or 2, eight digits, and a weighted digit sum divisible by ten; false for NULL.
+
+    The sum is written out digit by digit (a `substring` cast each), without lambdas, so that it stays in
+    generated code wherever it is used.
+    """
     letter_codes = F.create_map(
         *[F.lit(part) for letter, code in ID_LETTER_CODES.items() for part in (letter, str(code))]
     )
-    weights = F.array(*[F.lit(w) for w in ID_WEIGHTS])
-
-    def passes(number: Column) -> Column:
-        plain = ascii_digits(number)
-        digits = F.split(
-            F.concat(letter_codes[F.substring(plain, 1, 1)], F.substring(plain, 2, 9)), ""
-        )
-        weighted = F.zip_with(
-            F.slice(digits, 1, len(ID_WEIGHTS)), weights, lambda d, w: d.cast("int") * w
-        )
-        total = F.aggregate(weighted, F.lit(0), lambda a, x: a + x)
-        return F.when(number.rlike(rf"^[A-Z][12]{DIGIT}{{8}}\z"), total % 10 == 0)
-
-    return F.coalesce(let(F.upper(strip(text)), passes), F.lit(False))
+    number = F.upper(strip(text))
+    plain = ascii_digits(number)
+    digits = F.concat(letter_codes[F.substring(plain, 1, 1)], F.substring(plain, 2, 9))
+    total = F.lit(0)
+    for k, weight in enumerate(ID_WEIGHTS):
+        total = total + F.substring(digits, k + 1, 1).cast("int") * weight
+    return F.coalesce(F.when(number.rlike(rf"^[A-Z][12]{DIGIT}{{8}}\z"), total % 10 == 0), F.lit(False))

@@ -94,16 +94,28 @@ def with_findings(
     return measured.select(*[F.col(c) for c in df.columns], findings)
 
 
+def _valid(detector: RuleDetector, hits: Column) -> Column:
+    """The hits whose value passes the detector's checksum.
+
+    Checked on the array, once per row and before any hit becomes a row: a check after the unfolding that is
+    not generated code (one with a lambda, say) would make the unfolding buffer a copy of the row, text and
+    all, for every hit.
+    """
+    validator = detector.validator
+    return hits if validator is None else F.filter(hits, lambda hit: validator(hit["value"]))
+
+
 def _hits(df: DataFrame, text_col: str, keep: Sequence[str], rules: Sequence[RuleDetector]) -> DataFrame:
     """One row per finding of rule detectors.
 
-    The hits are unfolded first, so that contexts, checksums and scores are plain columns in generated code
-    and not expressions inside lambdas over an array.
+    Checksums are applied to each detector's array of hits; then the hits are unfolded, so that contexts and
+    scores are plain columns in generated code and not expressions inside lambdas over an array. Above the
+    unfolding no row is filtered, so the text is never copied per hit.
     """
     text = F.col(text_col)
     measured, columns, starts = _measured(df, text, rules)
     hits = [
-        F.when(F.size(c) > 0, d.hits(text, c, s)).otherwise(F.array().cast(HITS_TYPE))
+        F.when(F.size(c) > 0, _valid(d, d.hits(text, c, s))).otherwise(F.array().cast(HITS_TYPE))
         for d, c, s in zip(rules, columns, starts, strict=True)
     ]
     found = F.inline(F.array(*[F.struct(F.lit(i), h) for i, h in enumerate(hits)])).alias(_RULE, _HITS)
@@ -119,8 +131,6 @@ def _hits(df: DataFrame, text_col: str, keep: Sequence[str], rules: Sequence[Rul
         return chosen
 
     value, start = F.col(_VALUE), F.col(_START)
-    if any(d.validator is not None for d in rules):
-        rows = rows.where(by_rule([F.lit(True) if d.validator is None else d.validator(value) for d in rules]))
     window = by_rule([F.lit(d.window) for d in rules])
     around = context_window(text, start, F.length(value), window, F.col(_BLOCKS))
     rows = rows.select(*keep, _RULE, _VALUE, _START, around.alias(_CONTEXT))
