@@ -24,6 +24,7 @@ from piisieve.functions.matches import context_window, find_matches
 from piisieve.functions.scoring import mask_value, risk_tier
 from piisieve.functions.validators import luhn_valid, national_id_valid
 from piisieve.operators.builtin import BUILTIN
+from piisieve.operators.segments import scan_segments
 from piisieve.operators.names import (
     CHUNK_STEP, chunk_text, clean_entities, locate_entities, merge_touching,
 )
@@ -60,6 +61,11 @@ def detector_query(source, *pii_types: str) -> Query:
     return lambda spark, sf_dir: scan(source(spark, sf_dir), keep=["doc_id"], detectors=chosen or None)
 
 
+def scan_documents_in_segments(spark, sf_dir):
+    """All seven detectors over `documents`, each text cut into segments of about 4 096 characters."""
+    return scan_segments(documents(spark, sf_dir), keep=["doc_id"], size=4096)
+
+
 def scan_subset(spark, sf_dir):
     names = ["regexemailscanner", "RegexPassportScanner", "RegexEmailScanner", "NoSuchScanner"]
     return scan(documents(spark, sf_dir), keep=["doc_id"], detectors=names)
@@ -624,6 +630,7 @@ QUERIES: dict[str, Query] = {
     "nhi_documents": detector_query(documents, "NHI_NUMBER"),
     "nhi_pages": detector_query(pages, "NHI_NUMBER"),
     "scan_all_documents": detector_query(documents),
+    "scan_documents_in_segments": scan_documents_in_segments,
     "scan_all_pages": detector_query(pages),
     "scan_subset": scan_subset,
     "nhi_template": template_query("NHI_NUMBER"),
