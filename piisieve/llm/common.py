@@ -42,9 +42,16 @@ def worker_state(name: str, build: Callable[[], Any]) -> Any:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's path below the cluster's checkpoint folder; where none is set, as in tests, a temporary one."""
+    """A new folder's path below the cluster's checkpoint folder (`spark.checkpoint.dir`).
+
+    Where none is set and Spark runs in one process (`local` master, as in tests), a temporary folder is taken: driver
+    and executors share it there. On a cluster an unset folder is an error, since a folder of one machine would lose
+    what the others write.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = worker_state("checkpoints", lambda: tempfile.mkdtemp(prefix="checkpoints-"))
     return f"{base.rstrip('/')}/piisieve-{uuid.uuid4().hex}"
 
