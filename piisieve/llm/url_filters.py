@@ -74,15 +74,12 @@ def judge_urls(
     expanded = urls.withColumn("digests", F.array_distinct(F.array_compact(F.array(*expressions))) if shapes else empty)
     expanded = expanded.select("id", "url", "copies", "host", "path", F.explode_outer("digests").alias("digest"))
     expanded = expanded.withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
-    fits = (F.col("prefix") == F.col("rule_prefix")) & (F.col("digest") == F.col("rule_digest"))
+    # Joined on the short prefix alone; the full digest is confirmed above the join.
+    confirmed = F.col("rule").isNotNull() & (F.col("digest") == F.col("rule_digest"))
     judged = (
-        expanded.join(rules, fits, "left")
+        expanded.join(rules, F.col("prefix") == F.col("rule_prefix"), "left")
         .groupBy("id", "url", "copies", "host", "path")
-        .agg(
-            F.max(
-                F.when(F.col("rule").isNotNull(), F.struct("chars", "blocks", "rule", "rule_verdict"))
-            ).alias("best")
-        )
+        .agg(F.max(F.when(confirmed, F.struct("chars", "blocks", "rule", "rule_verdict"))).alias("best"))
     )
     judged = judged.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return judged.select(
