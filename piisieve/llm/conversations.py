@@ -22,6 +22,7 @@ dropped has zero counts, empty audit and the hash of the empty string. Extra inp
 table gives an empty result.
 """
 
+import functools
 import hashlib
 
 import numpy as np
@@ -84,24 +85,30 @@ def _matrix(initial: str, kind: int) -> np.ndarray:
     return (CLOSURE[:, :, None] + row[None, :, :]).min(axis=1)
 
 
-def _times(m: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return np.minimum((m + v[None, :]).min(axis=1), INF)
+def _times(m, v: list[int]) -> list[int]:
+    """The min-plus product of a 4 x 4 matrix and a vector."""
+    return [min(min(m[x][y] + v[y] for y in range(4)), INF) for x in range(4)]
+
+
+def _square(p):
+    return tuple(tuple(min(min(p[x][k] + p[k][y] for k in range(4)), INF) for y in range(4)) for x in range(4))
 
 
 class Powers:
     """M, M^2, M^4, ... of each symbol's matrix under the min-plus product, built when first needed."""
 
     def __init__(self):
-        self.cache: dict[tuple[str, int], list[np.ndarray]] = {}
+        self.cache: dict[tuple[str, int], list] = {}
 
-    def apply(self, symbol: tuple[str, int], count: int, v: np.ndarray) -> np.ndarray:
+    def apply(self, symbol: tuple[str, int], count: int, v: list[int]) -> list[int]:
         """M^count (x) v."""
-        powers = self.cache.setdefault(symbol, [_matrix(*symbol)])
+        powers = self.cache.get(symbol)
+        if powers is None:
+            powers = self.cache[symbol] = [tuple(tuple(int(c) for c in row) for row in _matrix(*symbol))]
         bit = 0
         while count:
             if bit == len(powers):
-                p = powers[-1]
-                powers.append(np.minimum((p[:, :, None] + p[None, :, :]).min(axis=1), INF))
+                powers.append(_square(powers[-1]))
             if count & 1:
                 v = _times(powers[bit], v)
             count >>= 1
@@ -112,6 +119,21 @@ class Powers:
 POWERS = Powers()
 
 
+@functools.cache
+def _moves(state: int, initial: str, kind: int) -> tuple[tuple[str, int, int, str | None], ...]:
+    return tuple(_options(state, initial, kind))
+
+
+@functools.cache
+def _step_matrix(initial: str, kind: int) -> tuple[tuple[int, ...], ...]:
+    return tuple(tuple(int(c) for c in row) for row in _matrix(initial, kind))
+
+
+INSERTS = [tuple(_inserts(x)) for x in range(4)]
+# A run up to this long has its rows' cost-to-go vectors stepped back one by one; a longer one takes them from the powers.
+STEPPED_RUN = 4096
+
+
 def repair(symbols: list[tuple[str, int]]) -> tuple[int, str, list[tuple[str, str, str | None]]]:
     """Least cost, audit, and per row (inserted initials before it, its letter, new initial); one more entry for the end."""
     n = len(symbols)
@@ -121,36 +143,47 @@ def repair(symbols: list[tuple[str, int]]) -> tuple[int, str, list[tuple[str, st
             runs[-1] = (s, runs[-1][1] + 1)
         else:
             runs.append((s, 1))
-    after = [END]  # cost-to-go after each run, from the last run backwards
+    after = [[int(c) for c in END]]  # cost-to-go after each run, from the last run backwards
     for symbol, count in reversed(runs):
         after.append(POWERS.apply(symbol, count, after[-1]))
     after.reverse()  # after[k]: before run k; after[len(runs)]: at the end
     best = int(after[0][START])
-
-    def to_go(run: int, left: int) -> np.ndarray:
-        """Cost-to-go before the last `left` rows of run `run`."""
-        return POWERS.apply(runs[run][0], left, after[run + 1]) if left else after[run + 1]
+    ends = after
+
+    def vectors(run: int) -> list[list[int]]:
+        """Cost-to-go before each row of a run and after its last, stepped back from the run's end."""
+        symbol, count = runs[run]
+        if count > STEPPED_RUN:
+            return [POWERS.apply(symbol, count - j, after[run + 1]) for j in range(count + 1)]
+        if count == 1:
+            return [after[run], after[run + 1]]
+        m = _step_matrix(*symbol)
+        out = [after[run + 1]]
+        for _ in range(count):
+            out.append(_times(m, out[-1]))
+        out.reverse()
+        return out
 
     states = {START: 0}
     back: list[dict[int, tuple[int, str, str | None]]] = []
     audit: list[str] = []
-    row = 0
     for run, (symbol, count) in enumerate(runs):
+        togo = vectors(run)
         for j in range(count):
-            here, there = to_go(run, count - j), to_go(run, count - j - 1)
+            here, there = togo[j], togo[j + 1]
             while True:
                 moves = []
                 for x, g in states.items():
-                    for y, new in _inserts(x):
+                    for y, new in INSERTS[x]:
                         if g + INSERT + here[y] == best:
                             moves.append(("I", y, g + INSERT, x, new))
-                    for letter, cost, y, new in _options(x, *symbol):
+                    for letter, cost, y, new in _moves(x, *symbol):
                         if g + cost + there[y] == best:
                             moves.append((letter, y, g + cost, x, new))
                 letter = min(m[0] for m in moves)
                 chosen: dict[int, tuple[int, str, str | None]] = {}
                 costs: dict[int, int] = {}
-                for m in sorted(moves, key=lambda m: (m[2], m[3], m[4] or "")):
+                for m in sorted(moves, key=lambda m: (m[2], m[3], m[4] or "")) if len(moves) > 1 else moves:
                     if m[0] == letter and m[1] not in chosen:
                         chosen[m[1]], costs[m[1]] = (m[3], letter, m[4]), m[2]
                 back.append(chosen)
@@ -158,9 +191,9 @@ def repair(symbols: list[tuple[str, int]]) -> tuple[int, str, list[tuple[str, st
                 audit.append(letter)
                 if letter != "I":
                     break
-            row += 1
+    end = [int(c) for c in END]
     while not any(x in ACCEPTING and g == best for x, g in states.items()):
-        moves = [(y, g + INSERT, x, new) for x, g in states.items() for y, new in _inserts(x) if g + INSERT + END[y] == best]
+        moves = [(y, g + INSERT, x, new) for x, g in states.items() for y, new in INSERTS[x] if g + INSERT + end[y] == best]
         chosen, costs = {}, {}
         for y, g, x, new in sorted(moves, key=lambda m: (m[1], m[2], m[3])):
             if y not in chosen:
