@@ -6,10 +6,16 @@ executors list those and read the files. The folder must be a path that all of t
 
 Nothing is lost without a row: a folder or file that may not be read, or that has gone since it was listed,
 gives a row with `read_error`. Any other fault while listing is raised, so that Spark tries the task again.
+
+A plain path, or one with `file:`, is listed with the operating system, names of any bytes included. Any other store
+is listed and read through a `pyarrow.fs` file system, given as `filesystem` or found from the URI (S3, GCS, HDFS, ...);
+it lists hidden and empty files like any other, so every store gives the same rows.
 """
 
+import base64
 import errno
 import os
+import pickle
 import stat
 from collections import deque
 from collections.abc import Iterator
@@ -18,6 +24,7 @@ from functools import partial
 from math import ceil
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -69,16 +76,34 @@ class FileListing(DataSource):
         return LISTING_DDL
 
     def reader(self, schema) -> "FileListingReader":
-        return FileListingReader(self.options["path"], int(self.options.get("folders", "64")))
+        store = self.options.get("filesystem")
+        filesystem = pickle.loads(base64.b64decode(store)) if store else None
+        return FileListingReader(self.options["path"], int(self.options.get("folders", "64")), filesystem)
+
+
+def store_of(path: str, filesystem: pafs.FileSystem | None = None) -> tuple[pafs.FileSystem | None, str]:
+    """The pyarrow file system of a path and the path in it; none for a plain or `file:` path, which the OS lists.
+
+    A URI of a scheme that pyarrow cannot open raises: pass a `filesystem` for it (for instance
+    `pyarrow.fs.PyFileSystem(pyarrow.fs.FSSpecHandler(...))` over any fsspec store).
+    """
+    if filesystem is not None:
+        return filesystem, path
+    if "://" in path and not path.startswith("file:"):
+        return pafs.FileSystem.from_uri(path)
+    return None, local_path(path)
 
 
 class FileListingReader(DataSourceReader):
-    def __init__(self, path: str, folders: int) -> None:
-        self.path = os.fsencode(local_path(path))
+    def __init__(self, path: str, folders: int, filesystem: pafs.FileSystem | None = None) -> None:
+        self.fs = filesystem
+        self.path = os.fsencode(local_path(path)) if filesystem is None else path.encode()
         self.folders = folders
 
     def partitions(self) -> list[FolderPartition]:
         """At most `folders` partitions; a level with more folders than that is dealt out among them."""
+        if self.fs is not None:
+            return self._store_partitions()
         if not os.path.exists(self.path):
             raise FileNotFoundError(f"no such file or folder: {os.fsdecode(self.path)}")
         if os.path.isfile(self.path):
@@ -92,11 +117,29 @@ class FileListingReader(DataSourceReader):
         found = done + [(folder, True) for folder in level]
         return [FolderPartition(found[i :: self.folders]) for i in range(min(self.folders, len(found)))]
 
+    def _store_partitions(self) -> list[FolderPartition]:
+        info = self.fs.get_file_info(self.path.decode())
+        if info.type == pafs.FileType.NotFound:
+            raise FileNotFoundError(f"no such file or folder: {self.path.decode()}")
+        if info.type != pafs.FileType.Directory:
+            return [FolderPartition([(self.path, False)])]
+        done: list[tuple[bytes, bool]] = []
+        level = deque([self.path])
+        while level and len(done) + len(level) < self.folders:
+            folder = level.popleft()
+            done.append((folder, False))
+            level.extend(p.encode() for p in _store_subfolders(self.fs, folder.decode()))
+        found = done + [(folder, True) for folder in level]
+        return [FolderPartition(found[i :: self.folders]) for i in range(min(self.folders, len(found)))]
+
     def read(self, partition: FolderPartition) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for folder, recursive in partition.folders:
-            for path, error in _files(folder, recursive):
-                row = _listed(path, error)
+            if self.fs is None:
+                listed = (_listed(path, error) for path, error in _files(folder, recursive))
+            else:
+                listed = _store_files(self.fs, folder.decode(), recursive)
+            for row in listed:
                 if row is not None:
                     rows.append(row)
                 if len(rows) >= ROWS_PER_BATCH:
@@ -176,32 +219,66 @@ def _files(folder: bytes, recursive: bool) -> Iterator[tuple[bytes, str | None]]
             yield current, error
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """All files under a folder: path, modificationTime, length, raw_path, and read_error where there is one."""
+def _store_subfolders(fs: pafs.FileSystem, folder: str) -> list[str]:
+    try:
+        infos = fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+    except OSError as fault:
+        if _message(fault) is None:
+            raise
+        return []
+    return [i.path for i in infos if i.type == pafs.FileType.Directory]
+
+
+def _store_files(fs: pafs.FileSystem, folder: str, recursive: bool) -> Iterator[tuple]:
+    """Listing rows of the files in a folder of a store, and of a folder that cannot be read, with the message."""
+    try:
+        info = fs.get_file_info(folder)
+        infos = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(folder, recursive=recursive))
+    except OSError as fault:
+        error = _message(fault)
+        if error is None:
+            raise
+        yield folder, None, 0, folder.encode(), error
+        return
+    for i in infos:
+        if i.type == pafs.FileType.File:
+            changed = None if i.mtime_ns is None else i.mtime_ns // 1000
+            yield i.path, changed, i.size or 0, i.path.encode(), None
+
+
+def list_files(spark: SparkSession, path: str, filesystem: pafs.FileSystem | None = None) -> DataFrame:
+    """All files under a folder: path, modificationTime, length, raw_path, and read_error where there is one.
+
+    `filesystem` (pyarrow) lists a store that is not mounted; a URI with a scheme other than `file` finds its own.
+    """
     spark.dataSource.register(FileListing)
     folders = spark.sparkContext.defaultParallelism * TASKS_PER_CORE
-    return spark.read.format("piisieve_listing").option("folders", str(folders)).load(local_path(path))
+    fs, inner = store_of(path, filesystem)
+    reader = spark.read.format("piisieve_listing").option("folders", str(folders))
+    if fs is not None:
+        reader = reader.option("filesystem", base64.b64encode(pickle.dumps(fs)).decode())
+    return reader.load(inner)
 
 
-def read_listed(files: DataFrame, partitions: int, skip_pdf: bool = False) -> DataFrame:
+def read_listed(files: DataFrame, partitions: int, skip_pdf: bool = False, filesystem: pafs.FileSystem | None = None) -> DataFrame:
     """Add the content of listed files.
 
     Only the listing is shuffled, so one folder may hold most of the files without one task reading
     them all. Of a file that no extractor takes only the first HEAD_BYTES are read; `skip_pdf` says that PDFs
     are among those.
     """
-    read = partial(_read_contents, skip_pdf=skip_pdf)
+    read = partial(_read_contents, skip_pdf=skip_pdf, fs=filesystem)
     return files.repartition(partitions).mapInArrow(read, FILE_DDL)
 
 
-def _read_contents(batches: Iterator[pa.RecordBatch], skip_pdf: bool) -> Iterator[pa.RecordBatch]:
+def _read_contents(batches: Iterator[pa.RecordBatch], skip_pdf: bool, fs: pafs.FileSystem | None = None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         size = 0
         for row in batch.to_pylist():
             content, error, unreadable = None, row["read_error"], True
             if error is None:
-                content, error, unreadable = _read_file(row["raw_path"], row["path"], row["length"], skip_pdf)
+                content, error, unreadable = _read_file(row["raw_path"], row["path"], row["length"], skip_pdf, fs)
             rows.append((row["path"], row["modificationTime"], row["length"], content, error, unreadable))
             size += len(content or b"")
             if size >= BYTES_PER_BATCH:
@@ -212,11 +289,11 @@ def _read_contents(batches: Iterator[pa.RecordBatch], skip_pdf: bool) -> Iterato
 
 
 def _read_file(
-    raw_path: bytes, path: str, length: int, skip_pdf: bool
+    raw_path: bytes, path: str, length: int, skip_pdf: bool, fs: pafs.FileSystem | None = None
 ) -> tuple[bytes | None, str | None, bool]:
     """Content, or its head where no extractor takes it; or the error and whether the file could not be opened."""
     try:
-        with open(raw_path, "rb") as file:
+        with open(raw_path, "rb") if fs is None else fs.open_input_stream(raw_path.decode()) as file:
             head = file.read(HEAD_BYTES)
             if not is_routed(path, head, skip_pdf):
                 return head, None, False
@@ -244,18 +321,21 @@ def _content_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_files(
-    spark: SparkSession, path: str, partitions: int | None = None, skip_pdf: bool = False
+    spark: SparkSession,
+    path: str,
+    partitions: int | None = None,
+    skip_pdf: bool = False,
+    filesystem: pafs.FileSystem | None = None,
 ) -> DataFrame:
     """All files under a path with their content, or its head where no extractor takes it.
 
-    A path on a mounted file system is listed exactly. For any other storage Spark's `binaryFile` reader
-    is used, which leaves out hidden and empty files. Without `partitions` the files are listed once more
+    Every store is listed exactly, hidden and empty files included: a mounted path by the operating system, any other
+    through `filesystem` or the pyarrow file system of its URI. Without `partitions` the files are listed once more
     for the sum of their sizes, and a task gets about BYTES_PER_TASK.
     """
-    if "://" in path and not path.startswith("file://"):
-        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = list_files(spark, path)
+    fs, inner = store_of(path, filesystem)
+    files = list_files(spark, inner, fs)
     if partitions is None:
         total = files.agg(F.sum("length")).first()[0] or 0
         partitions = max(spark.sparkContext.defaultParallelism * TASKS_PER_CORE, ceil(total / BYTES_PER_TASK))
-    return read_listed(files, partitions, skip_pdf)
+    return read_listed(files, partitions, skip_pdf, fs)

@@ -273,3 +273,26 @@ def test_both_ways_to_tell_a_type_agree(spark, documents):
     paths = list(FILES) + ["/x/.env", "/dir.x/file", "/x/a.", "/x/..txt", "/x/a.b c", "/x/a.TXT"]
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     assert [r.e for r in df.select(extension(F.col("p")).alias("e")).collect()] == [suffix_of(p) for p in paths]
+
+
+def test_stores_give_the_same_rows(spark, tmp_path):
+    """A plain path, `file:` and a pyarrow file system that is no mount list the same files, hidden and empty ones too."""
+    import pyarrow.fs as pafs
+
+    for name, body in {"a/.hidden": b"x@y.com", "a/_under": b"u", "a/b/empty.txt": b"", "a/b/c/d.txt": b"deep", "top.txt": b"t"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    base = str(tmp_path)
+
+    def rows(df, prefix):
+        return sorted((r.path.removeprefix(prefix).lstrip("/"), r.length, bytes(r.content), r.read_error) for r in df.collect())
+
+    plain = rows(read_files(spark, base, partitions=3), base)
+    assert [r[0] for r in plain] == ["a/.hidden", "a/_under", "a/b/c/d.txt", "a/b/empty.txt", "top.txt"]
+    assert rows(read_files(spark, f"file://{base}", partitions=3), base) == plain
+    store = pafs.SubTreeFileSystem(base, pafs.LocalFileSystem())
+    assert rows(read_files(spark, "", partitions=3, filesystem=store), "") == plain
+    listed = list_files(spark, "a", filesystem=store).collect()
+    assert sorted(r.path for r in listed) == ["a/.hidden", "a/_under", "a/b/c/d.txt", "a/b/empty.txt"]
+    with pytest.raises(Exception):
+        read_files(spark, "nosuchscheme://bucket/folder")
