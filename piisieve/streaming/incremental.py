@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.detector import Detector
 from ..plans.job import scan_documents
 from ..sources.extract import extract_text
+from .files import stream_files
 
 
 def scan_new_files(
@@ -20,16 +21,11 @@ def scan_new_files(
 ) -> StreamingQuery:
     """Append one row per new file, with status and findings, to the table at `output`, then stop.
 
-    The scan keeps no state, so this is the batch scan on a stream: the checkpoint remembers the files
-    that are done, and a failed run is taken up where it stopped. `checkpoint` must be storage that all
-    nodes share.
+    The scan keeps no state, so this is the batch scan on a stream: the checkpoint remembers the (time, path) of the
+    last file done, and a failed run is taken up where it stopped. Hidden and empty files have rows like any other
+    (`streaming/files.py`). `checkpoint` must be storage that all nodes share.
     """
-    files = (
-        spark.readStream.format("binaryFile")
-        .schema("path string, modificationTime timestamp, length bigint, content binary")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-    )
+    files = stream_files(spark, path)
     return (
         scan_documents(extract_text(files, pdf_extractor), detectors)
         .writeStream.format("parquet")

@@ -170,11 +170,18 @@ def test_labels(spark):
 
 
 def test_new_files_are_scanned_once(spark, folder, tmp_path):
+    """Hidden and empty files have rows, as in the batch scan; a restart reads nothing twice."""
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
     scan_new_files(spark, folder, out, checkpoint).awaitTermination()
-    assert findings_of(spark.read.parquet(out)).count() == 3
+    assert findings_of(spark.read.parquet(out)).count() == 4  # with c@d.org of .hidden
+    assert spark.read.parquet(out).count() == 4
     with open(folder + "/new.txt", "w") as file:
         file.write("new@x.org")
+    open(folder + "/.empty", "w").close()
     scan_new_files(spark, folder, out, checkpoint).awaitTermination()
-    assert findings_of(spark.read.parquet(out)).count() == 4
-    assert spark.read.parquet(out).count() == 4
+    assert findings_of(spark.read.parquet(out)).count() == 5
+    assert sorted(r.file_path.rsplit("/", 1)[-1] for r in spark.read.parquet(out).collect()) == [
+        ".empty", ".hidden", "a.txt", "b.html", "c.bin", "new.txt"
+    ]
+    scan_new_files(spark, folder, out, checkpoint).awaitTermination()
+    assert spark.read.parquet(out).count() == 6
