@@ -25,7 +25,7 @@ from math import ceil
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -268,7 +268,31 @@ def read_listed(files: DataFrame, partitions: int, skip_pdf: bool = False, files
     are among those.
     """
     read = partial(_read_contents, skip_pdf=skip_pdf, fs=filesystem)
-    return files.repartition(partitions).mapInArrow(read, FILE_DDL)
+    return dealt_by_bytes(files, partitions).mapInArrow(read, FILE_DDL)
+
+
+def dealt_by_bytes(files: DataFrame, partitions: int) -> DataFrame:
+    """The listing in `partitions` partitions of about equal bytes, not equal counts of files.
+
+    Each file's place in a running sum of sizes (the sums of the listing's partitions first, then a running sum inside
+    each) gives it the range of bytes it falls in; ranges are dealt one to a partition. A task then reads at most its
+    share of bytes and one more file, however the sizes are spread. Only the listing moves, never content.
+    """
+    size = F.greatest(F.coalesce(F.col("length"), F.lit(0)), F.lit(1))  # files without bytes still cost a little
+    placed = files.withColumn("_part", F.spark_partition_id()).withColumn("_size", size)
+    totals = placed.groupBy("_part").agg(F.sum("_size").alias("_total"))
+    before_part = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "_part", F.coalesce(F.sum("_total").over(before_part), F.lit(0)).alias("_offset"), F.sum("_total").over(Window.partitionBy()).alias("_all")
+    )
+    before_file = Window.partitionBy("_part").orderBy("path", "raw_path").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.join(F.broadcast(offsets), "_part").withColumn(
+        "_before", F.col("_offset") + F.coalesce(F.sum("_size").over(before_file), F.lit(0))
+    )
+    share = F.col("_all") / partitions
+    slot = F.least(F.floor(F.col("_before") / share), F.lit(partitions - 1)).cast("int")
+    dealt = ranked.withColumn("_slot", slot).repartitionByRange(partitions, "_slot")
+    return dealt.drop("_part", "_size", "_offset", "_all", "_before", "_slot")
 
 
 def _read_contents(batches: Iterator[pa.RecordBatch], skip_pdf: bool, fs: pafs.FileSystem | None = None) -> Iterator[pa.RecordBatch]:

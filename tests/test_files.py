@@ -296,3 +296,18 @@ def test_stores_give_the_same_rows(spark, tmp_path):
     assert sorted(r.path for r in listed) == ["a/.hidden", "a/_under", "a/b/c/d.txt", "a/b/empty.txt"]
     with pytest.raises(Exception):
         read_files(spark, "nosuchscheme://bucket/folder")
+
+
+def test_reads_are_dealt_by_bytes(spark, tmp_path):
+    """A folder of one large file and many small ones: no task gets more than twice its share, unless one file does."""
+    (tmp_path / "big.txt").write_bytes(b"x" * 400_000)
+    for i in range(300):
+        (tmp_path / f"s{i:03}.txt").write_bytes(b"y" * 1000)
+    files = list_files(spark, str(tmp_path))
+    dealt = listing.dealt_by_bytes(files, 8)
+    sizes = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("length").alias("b"), F.count("*").alias("n")).collect()
+    share = 700_000 / 8
+    assert sum(r.n for r in sizes) == 301
+    assert all(r.b <= 2 * share or r.b <= 400_000 + share for r in sizes), sizes
+    small_tasks = [r for r in sizes if r.b < 400_000]
+    assert len(small_tasks) >= 3 and max(r.b for r in small_tasks) <= 2 * share, sizes
