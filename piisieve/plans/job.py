@@ -4,7 +4,7 @@ import logging
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.detector import Detector
@@ -13,7 +13,7 @@ from ..operators.scan import flatten_findings, with_findings
 from ..schema import FINDING_SCHEMA
 from ..sources.extract import extract_text
 from ..sources.listing import read_files
-from .report import default_report_name, scan_totals, write_report
+from .report import default_report_name, report_is_due, total_columns, write_report
 
 log = logging.getLogger(__name__)
 
@@ -57,8 +57,8 @@ def scan_files(
 ) -> ScanOutcome | None:
     """Scan a file or folder and write `documents` and `report` under `output`.
 
-    The files are read once: that pass writes one row per file with its status and findings. Counts
-    and report come from that table, which is as small as the findings, not from the files.
+    The files are read once: that pass writes one row per file with its status and findings, and counts them as it
+    writes (an `Observation`). The report comes from that table, which is as small as the findings, not from the files.
     Returns None if no known detector was asked for.
     """
     registry = default_registry(predictor_factory)
@@ -73,15 +73,15 @@ def scan_files(
     documents_path, report_path = f"{output}/documents", f"{output}/report"
     files = read_files(spark, path, partitions, skip_pdf=pdf_extractor is None)
     scanned = scan_documents(extract_text(files, pdf_extractor), chosen)
-    scanned.write.mode("overwrite" if overwrite else "errorifexists").parquet(documents_path)
-
-    written = spark.read.schema(scanned.schema).parquet(documents_path)
-    totals = scan_totals(written).first()
-    if totals.files == 0:
+    # The counts are taken while the documents are written (from successful tasks only), not by reading them again.
+    counted = Observation("scan_totals")
+    scanned.observe(counted, *total_columns()).write.mode("overwrite" if overwrite else "errorifexists").parquet(documents_path)
+    totals = counted.get
+    files_seen, findings, failed = totals["files"], totals["findings"], totals["failed_files"]
+    if files_seen == 0:
         log.warning("no files under %s", path)
-    due = totals.files > 0 and totals.report_due
+    due = files_seen > 0 and report_is_due(findings, failed)
     if due:
+        written = spark.read.schema(scanned.schema).parquet(documents_path)
         write_report(findings_of(written), report_path, file_format, overwrite, partition_by)
-    return ScanOutcome(
-        documents_path, report_path if due else None, totals.findings, totals.failed_files
-    )
+    return ScanOutcome(documents_path, report_path if due else None, findings, failed)

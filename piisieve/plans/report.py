@@ -59,11 +59,16 @@ def report_is_due(findings, failed_files):
     return (findings > 0) | (failed_files == 0)
 
 
-def scan_totals(scanned: DataFrame) -> DataFrame:
-    """Files, findings, failed files, and whether a report is due, over scanned documents."""
-    totals = scanned.agg(
-        F.count("*").alias("files"),
+def total_columns() -> list:
+    """The counts of scanned documents as aggregates: files, findings, failed files."""
+    return [
+        F.count(F.lit(1)).alias("files"),
         F.coalesce(F.sum(F.size("findings")), F.lit(0)).alias("findings"),
         F.count_if("failed").alias("failed_files"),
-    )
+    ]
+
+
+def scan_totals(scanned: DataFrame) -> DataFrame:
+    """Files, findings, failed files, and whether a report is due, over scanned documents."""
+    totals = scanned.agg(*total_columns())
     return totals.withColumn("report_due", report_is_due(F.col("findings"), F.col("failed_files")))
