@@ -27,7 +27,21 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+    StringContains,
+    StringEndsWith,
+    StringStartsWith,
+)
 
 from .routing import HEAD_BYTES, is_routed
 from .tables import TASKS_PER_CORE
@@ -94,11 +108,43 @@ def store_of(path: str, filesystem: pafs.FileSystem | None = None) -> tuple[pafs
     return None, local_path(path)
 
 
+# Conditions on listing rows that the source applies itself, exactly as Spark would: on `path` and on `length`.
+_ON_PATH = {StringEndsWith: str.endswith, StringStartsWith: str.startswith, StringContains: str.__contains__}
+_ON_LENGTH = {
+    EqualTo: int.__eq__, GreaterThan: int.__gt__, GreaterThanOrEqual: int.__ge__, LessThan: int.__lt__, LessThanOrEqual: int.__le__,
+}
+
+
+def _kept(row: tuple, filters: list[Filter]) -> bool:
+    for f in filters:
+        test = _ON_PATH.get(type(f))
+        if test is not None and not test(row[0], f.value):
+            return False
+        test = _ON_LENGTH.get(type(f))
+        if test is not None and not (row[2] is not None and test(int(row[2]), f.value)):
+            return False
+    return True
+
+
 class FileListingReader(DataSourceReader):
     def __init__(self, path: str, folders: int, filesystem: pafs.FileSystem | None = None) -> None:
         self.fs = filesystem
         self.path = os.fsencode(local_path(path)) if filesystem is None else path.encode()
         self.folders = folders
+        self.filters: list[Filter] = []
+
+    def pushFilters(self, filters: list[Filter]):
+        """Conditions on the path (ends, starts with, contains) and on the length are applied while listing, so that
+        a file they drop never becomes a row and is never read; all others are left to Spark."""
+        for f in filters:
+            if isinstance(f, IsNotNull) and f.attribute in (("path",), ("length",)):
+                continue  # listing rows always have both
+            if (type(f) in _ON_PATH and f.attribute == ("path",) and isinstance(f.value, str)) or (
+                type(f) in _ON_LENGTH and f.attribute == ("length",) and isinstance(f.value, int)
+            ):
+                self.filters.append(f)
+            else:
+                yield f
 
     def partitions(self) -> list[FolderPartition]:
         """At most `folders` partitions; a level with more folders than that is dealt out among them."""
@@ -140,7 +186,7 @@ class FileListingReader(DataSourceReader):
             else:
                 listed = _store_files(self.fs, folder.decode(), recursive)
             for row in listed:
-                if row is not None:
+                if row is not None and _kept(row, self.filters):
                     rows.append(row)
                 if len(rows) >= ROWS_PER_BATCH:
                     yield _listing_batch(rows)
@@ -252,6 +298,8 @@ def list_files(spark: SparkSession, path: str, filesystem: pafs.FileSystem | Non
     `filesystem` (pyarrow) lists a store that is not mounted; a URI with a scheme other than `file` finds its own.
     """
     spark.dataSource.register(FileListing)
+    # The listing source applies conditions on path and length itself (`pushFilters`); Spark asks for this switch.
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     folders = spark.sparkContext.defaultParallelism * TASKS_PER_CORE
     fs, inner = store_of(path, filesystem)
     reader = spark.read.format("piisieve_listing").option("folders", str(folders))
@@ -350,15 +398,21 @@ def read_files(
     partitions: int | None = None,
     skip_pdf: bool = False,
     filesystem: pafs.FileSystem | None = None,
+    where=None,
 ) -> DataFrame:
     """All files under a path with their content, or its head where no extractor takes it.
 
+    `where`, a condition on the listing's columns (path, modificationTime, length, read_error), is applied before any
+    file is opened; its parts on path and length are applied by the listing itself.
+
     Every store is listed exactly, hidden and empty files included: a mounted path by the operating system, any other
     through `filesystem` or the pyarrow file system of its URI. Without `partitions` the files are listed once more
     for the sum of their sizes, and a task gets about BYTES_PER_TASK.
     """
     fs, inner = store_of(path, filesystem)
     files = list_files(spark, inner, fs)
+    if where is not None:
+        files = files.where(where)
     if partitions is None:
         total = files.agg(F.sum("length")).first()[0] or 0
         partitions = max(spark.sparkContext.defaultParallelism * TASKS_PER_CORE, ceil(total / BYTES_PER_TASK))

@@ -311,3 +311,18 @@ def test_reads_are_dealt_by_bytes(spark, tmp_path):
     assert all(r.b <= 2 * share or r.b <= 400_000 + share for r in sizes), sizes
     small_tasks = [r for r in sizes if r.b < 400_000]
     assert len(small_tasks) >= 3 and max(r.b for r in small_tasks) <= 2 * share, sizes
+
+
+def test_conditions_on_path_and_length_are_applied_by_the_listing(spark, tmp_path):
+    for name, body in {"a.txt": b"aaaa", "b.txt": b"", "c.csv": b"cccccc", "d/e.txt": b"eeeeeeee"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    condition = F.col("path").endswith(".txt") & (F.col("length") > 3)
+    listed = list_files(spark, str(tmp_path)).where(condition)
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert " Filter (" not in plan, plan  # no filter node: both parts are taken by the source
+    assert sorted(r.path.rsplit("/", 1)[-1] for r in listed.collect()) == ["a.txt", "e.txt"]
+    read = read_files(spark, str(tmp_path), partitions=2, where=condition & F.col("path").contains("/d/"))
+    assert [(r.path.rsplit("/", 1)[-1], bytes(r.content)) for r in read.collect()] == [("e.txt", b"eeeeeeee")]
+    mixed = list_files(spark, str(tmp_path)).where(F.col("path").endswith(".csv") | (F.col("length") == 0))
+    assert sorted(r.path.rsplit("/", 1)[-1] for r in mixed.collect()) == ["b.txt", "c.csv"]
