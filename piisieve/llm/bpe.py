@@ -153,7 +153,7 @@ def bpe_encode(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_c
 
     Special tokens that stand in a text get their ids; none are added. A null or empty text has no ids.
     Each row is encoded by itself, nothing is shuffled. Repeated rows give repeated results; other columns
-    are not read.
+    are not read. Very long texts are encoded whole; an empty table gives an empty result.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

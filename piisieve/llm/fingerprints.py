@@ -152,7 +152,8 @@ def document_fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: st
     and of the text whose second half is replaced by the start of the next document's.
 
     The last floor(n/2) code points go, and as many first ones of the next text come, or all it has. Null texts
-    count as empty; repeated rows are documents of their own; other columns are not read.
+    count as empty; repeated rows are documents of their own; other columns are not read. Very long texts are
+    fingerprinted whole; an empty table gives an empty result.
     """
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     paired = with_next(

@@ -297,6 +297,7 @@ def deleted_interpolation(df: DataFrame, *, id_col: str = "doc_id", text_col: st
     Repeated rows count and are scored as often as they stand. With nothing to learn from, every token has probability 1.
 
     `df` must give the same rows in the same order when it is read again, as a file does; a block that differs raises an error.
+    Ids are integers, or strings of digits, since they are cast to long; another string raises Spark's CAST_INVALID_INPUT.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rest = fold(F.col("id"), HELD_OUT_MODULUS)

@@ -150,6 +150,7 @@ def compression_scores(docs: DataFrame, model: CompressionClassifier) -> DataFra
 
     Whole texts are scored, row by row. An empty or null text compresses to nothing under either dictionary and scores
     what the calibration gives for that; without texts of both classes every score is the share of label 1, or 1 without any label.
+    Very long texts are compressed whole; repeated rows are scored as often as they stand; an empty table gives an empty result.
     """
     if not model.weights:
         return docs.drop("text").withColumn("score", F.lit(model.share))

@@ -173,7 +173,8 @@ def quality_rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """Rows (id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept).
 
     Null texts count as empty; repeated rows give repeated results; other columns are not read. One narrow
-    pass of column expressions.
+    pass of column expressions. Very long texts are judged whole; an empty table gives an empty result (and the
+    rules keep their written order).
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     verdict = passes_rules(docs, METHOD_RULES)

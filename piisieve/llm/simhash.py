@@ -165,6 +165,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Texts whose fingerprints differ in at most `radius` bits are linked. Null and empty texts have the fingerprint
     zero and are linked like any other. Null ids are never the smallest; a component of null ids alone has none. Repeated rows give repeated results; other
     columns are not read. Equal fingerprints are grouped before anything is compared, so copies cost nothing.
+    Very long texts are fingerprinted whole; an empty table gives an empty result.
     """
     prints = written(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), id_col="id"))
     distinct = written(

@@ -261,7 +261,8 @@ def changed_texts(
     """Rows (key, n_removed, kept): texts that lose words, under the `row_key` of their rows.
 
     A word goes if a window of `min_words` words that covers it also starts in a document with a smaller id, judged on the
-    texts as given. Null texts have no words. A null id counts as higher than all others. Rows with equal id and text share a key; rows of one
+    texts as given. Null texts have no words. A null id counts as higher than all others. Ids are integers, or strings of
+    digits (they are cast to long); another string raises Spark's CAST_INVALID_INPUT. Rows with equal id and text share a key; rows of one
     id are one document and do not repeat each other.
     """
     shape = _Shape(min_words, letter_words)

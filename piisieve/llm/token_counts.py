@@ -43,7 +43,8 @@ def token_counts(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text
     The pre-tokens of a text are counted, each distinct pre-token's pieces are counted once for the texts
     handled together (and kept for later ones of the same worker), and frequency times pieces is summed.
     No ids are made per text, nothing is shuffled, and a row costs no more than its own text. A null or
-    empty text has no tokens; repeated rows give repeated results; other columns are not read.
+    empty text has no tokens; repeated rows give repeated results; other columns are not read. Very long texts are
+    counted whole; an empty table gives an empty result.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
