@@ -103,11 +103,24 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(correlation(a["narrow"], b["narrow"]))
 
 
-def _bucket(value: Column, starts: list) -> Column:
-    """How many of the ascending `starts` are not above the value, by binary search; 0 for null."""
+def _sql_value(value: int | str) -> str:
+    if isinstance(value, int):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _bucket(value: Column, starts: list, kind: str) -> Column:
+    """How many of the ascending `starts` are not above the value, by binary search; 0 for null.
+
+    Integer and string bounds go into the plan as one SQL array, which the optimizer folds into a single literal, not
+    one call into the JVM each.
+    """
     if not starts:
         return F.lit(0)
-    bounds = F.array(*map(F.lit, starts))
+    if all(isinstance(s, int) and not isinstance(s, bool) for s in starts) or all(isinstance(s, str) for s in starts):
+        bounds = F.expr(f"CAST(array({', '.join(map(_sql_value, starts))}) AS array<{kind}>)")
+    else:
+        bounds = F.array(*map(F.lit, starts))
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(starts).bit_length()))])
 
     def step(at: Column, width: Column) -> Column:
@@ -131,11 +144,12 @@ def with_next(df: DataFrame, *, id_col: str, columns: list[str], derive) -> Data
     bounds = ranged.groupBy(F.spark_partition_id().alias("range")).agg(F.min(id_col).alias("first")).collect()
     starts = sorted(r["first"] for r in bounds)
     null_first = df.where(F.col(id_col).isNull()).limit(1).count() > 0
-    rows = df.withColumn("range", _bucket(F.col(id_col), starts[0 if null_first else 1 :])).withColumn("copied", F.lit(0))
+    kind = df.schema[id_col].dataType
+    rows = df.withColumn("range", _bucket(F.col(id_col), starts[0 if null_first else 1 :], kind.simpleString()))
+    rows = rows.withColumn("copied", F.lit(0))
     ranges = len(starts) + null_first
     # The first rows, by range: as many as there are ranges, and rows with the same id.
     firsts = ([None] if null_first else []) + starts
-    kind = df.schema[id_col].dataType
     sent = spark.createDataFrame(
         [(first, (at - 1) % ranges) for at, first in enumerate(firsts)],
         f"first {kind.simpleString()}, sent_to int",
