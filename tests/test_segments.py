@@ -40,3 +40,18 @@ def test_segmented_query_equals_whole_query(spark):
 
     sf = "/root/testdata/sf0.001"
     assert _rows(QUERIES["scan_documents_in_segments"](spark, sf)) == _rows(QUERIES["scan_all_documents"](spark, sf))
+
+
+def test_chosen_detectors_and_unknown_names(spark):
+    import pytest
+
+    text = "ID:A123456789,  a@b.com  電話:0912-345-678  " * 40
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    names = ["RegexEmailScanner", "RegexPhoneScanner"]
+    from piisieve.operators.builtin import BUILTIN
+
+    chosen = [d for d in BUILTIN if d.name in names]
+    assert len(chosen) == 2
+    assert _rows(scan_segments(df, keep=["doc_id"], detectors=names, size=50)) == _rows(scan(df, keep=["doc_id"], detectors=chosen))
+    with pytest.raises(ValueError):
+        scan_segments(df, keep=["doc_id"], detectors=["NoSuchScanner"])
