@@ -7,10 +7,10 @@ last return the columns of `documents`.
 from pyspark.sql import DataFrame, SparkSession
 
 from piisieve.llm.common import written
-from piisieve.llm.near_copies import one_per_group
 from piisieve.llm.packing import pack
 from piisieve.llm.quality_classifier import keep_good, training_labels
 from piisieve.llm.quality_rules import passes_rules
+from piisieve.llm.simhash import one_per_group
 from piisieve.llm.substrings import without_repeats
 
 
@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies: 0.8 of their shingles of five words are shared."""
+    """One document, that of the smallest id, of each group of near duplicates by SimHash, as in `op2_simhash`."""
     return one_per_group(docs)
 
 

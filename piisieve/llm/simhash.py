@@ -10,7 +10,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from piisieve.llm.common import written
@@ -187,6 +187,21 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return light.unionByName(dense).select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
+def one_per_group(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `df`, with all their columns, that stand for their group of `near_duplicates`: the smallest id and, under it, the lowest hash.
+
+    Each text counts, also where several have one id; of rows with one id and one text one stays. Null texts and texts without words
+    are one group. Rows without an id link nothing and stay as they are.
+    """
+    key = F.struct(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("hash")).alias("id")
+    rows = df.select(key, F.struct("*").alias("row"))
+    texts = df.select(key, F.col(text_col).alias("text")).where("id.doc is not null")
+    keepers = near_duplicates(texts, id_col="id").where("id = component_id").select("id").distinct()
+    first = F.row_number().over(Window.partitionBy("id").orderBy(F.lit(0)))
+    kept = rows.join(keepers, "id", "left_semi").withColumn("copy", first).where("copy = 1").select("row.*")
+    return kept.unionByName(rows.where("id.doc is null").select("row.*"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))

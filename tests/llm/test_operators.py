@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from piisieve.llm import bpe, fingerprints, lm_scoring, near_copies, packing, quality_rules, simhash, substrings, url_filters
 from piisieve.llm import quality_classifier as classifier
 from piisieve.llm.components import connected_components
@@ -127,6 +128,25 @@ def test_simhash_odd_rows(odd, odd_rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_one_document_of_each_simhash_group_stays(spark):
+    """The pipeline's stage keeps what the fingerprints' components keep; each text of an id counts, and all its copies are one."""
+    template = [f"t{i}" for i in range(400)]
+    rows = [(10 + i, " ".join([*template, f"end{i}"])) for i in range(60)]  # near copies: links in the square of the group
+    rows += [(100 + i, " ".join(template)) for i in range(40)]  # exact copies
+    rows += [(5, "one text here"), (5, "quite another text"), (5, "one text here"), (7, None), (8, " "), (None, "one text here"), (None, None)]
+    rows += [(300 + i, " ".join(f"v{i}x{k}" for k in range(40))) for i in range(20)]
+    rows += [(400 + i, " ".join([*template[:50], f"v{i}", *template[51:100]])) for i in range(20)]  # mostly over three bits apart
+    keyed = sorted({(d, t or "") for d, t in rows if d is not None})
+    low = plain_components([((d, t), t) for d, t in keyed])
+    expected = Counter(key for key, _, least in low if key == least)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = corpus_pipeline.simhash_near_dedup(spark, df, "")
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert Counter((d, t or "") for d, t in got if d is not None) == expected
+    assert sum(d is None for d, _ in got) == 2
+    assert 25 < len(expected) < 60 and {d for d, _ in expected} != set(plain_near_copies([(d, t) for d, t in rows if d is not None]))
+
+
 @pytest.mark.parametrize("tile", [2, 64])
 def test_tiles_connect_what_links_connect(spark, tile):
     rng = np.random.default_rng(2)
