@@ -7,6 +7,7 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
 from .patterns import DIGIT, SPACE
 
 # The two-digit code of each first letter, and the weight of each of the eleven digits.
@@ -30,6 +31,10 @@ def _digit_table() -> tuple[str, str]:
     return "".join(digits), "".join(str(unicodedata.decimal(d)) for d in digits)
 
 
+# What upper-cases to one of the letters A to Z, and those letters.
+_LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyzıſ", "ABCDEFGHIJKLMNOPQRSTUVWXYZIS"
+
+
 def ascii_digits(text: Column) -> Column:
     """Replace decimal digits of any script by 0-9."""
     return F.translate(text, *_digit_table())
@@ -47,24 +52,31 @@ def is_not_blank(text: Column) -> Column:
 def luhn_valid(text: Column) -> Column:
     """13 to 19 digits, other characters aside, that pass the Luhn check; false for NULL."""
     digits = ascii_digits(F.regexp_replace(text, rf"[^{DIGIT}]", ""))
-    return F.coalesce(
-        F.length(digits).between(*LUHN_LENGTHS) & F.call_function("luhn_check", digits), F.lit(False)
-    )
+    valid = let(digits, lambda d: F.length(d).between(*LUHN_LENGTHS) & F.call_function("luhn_check", d))
+    return F.coalesce(valid, F.lit(False))
 
 
 def national_id_valid(text: Column) -> Column:
     """One letter, 1 or 2, eight digits, and a weighted digit sum divisible by ten; false for NULL.
 
-    The sum is written out digit by digit (a `substring` cast each), without lambdas, so that it stays in
-    generated code wherever it is used.
+    The text is put into plain letters and digits once, and its digit string is built once, each bound by `let`: written out, the
+    sum would repeat patterns and `translate` for each of its digits. Of all characters only those of `_LOWER` upper-case to one
+    letter A to Z, so `translate` does it without the full case mapping, which costs more than all the rest.
     """
     letter_codes = F.create_map(
         *[F.lit(part) for letter, code in ID_LETTER_CODES.items() for part in (letter, str(code))]
     )
-    number = F.upper(strip(text))
-    plain = ascii_digits(number)
-    digits = F.concat(letter_codes[F.substring(plain, 1, 1)], F.substring(plain, 2, 9))
-    total = F.lit(0)
-    for k, weight in enumerate(ID_WEIGHTS):
-        total = total + F.substring(digits, k + 1, 1).cast("int") * weight
-    return F.coalesce(F.when(number.rlike(rf"^[A-Z][12]{DIGIT}{{8}}\z"), total % 10 == 0), F.lit(False))
+
+    def divisible(of: Column) -> Column:
+        total = F.lit(0)
+        for k, weight in enumerate(ID_WEIGHTS):
+            total = total + F.substring(of, k + 1, 1).cast("int") * weight
+        return total % 10 == 0
+
+    def checked(number: Column) -> Column:
+        code = letter_codes[F.substring(number, 1, 1)]
+        return F.when(number.rlike(r"^[A-Z][12][0-9]{8}\z"), let(F.concat(code, F.substring(number, 2, 9)), divisible))
+
+    digits, plain = _digit_table()
+    number = F.translate(strip(text), digits + _LOWER, plain + _UPPER)
+    return F.coalesce(let(number, checked), F.lit(False))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from piisieve import RuleDetector, scan
 from piisieve.functions.matches import find_matches
+from piisieve.functions.validators import luhn_valid, national_id_valid
+from piisieve.sources.tables import spread
 
 CASES = {
     "RegexEmailScanner": [
@@ -206,3 +208,40 @@ def test_dense_text_is_not_copied_per_hit(spark):
     # The passport pattern also takes the nine digits of the national ID; the line holds no address.
     assert counts == {"EMAIL": reps, "CREDIT_CARD": reps, "TAIWAN_ID_CARD": reps, "NHI_NUMBER": reps,
                       "PASSPORT_NUMBER": 2 * reps, "PHONE_NUMBER": reps}, counts
+
+
+def test_rows_that_crowd_in_one_split_are_spread(spark, tmp_path):
+    """A row group goes whole to one split of its file: enough splits do not mean that the rows are dealt out."""
+    path = str(tmp_path / "one_row_group")
+    spark.range(300_000).coalesce(1).write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        for options in ({}, {"rows_per_task": 5_000}):
+            source = spark.read.parquet(path)
+            assert source.rdd.getNumPartitions() >= cores
+            dealt = spread(source, spark, **options)
+            counts = [r["count"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+            assert sum(counts) == 300_000 and len(counts) >= cores
+            assert max(counts) <= 1.1 * options.get("rows_per_task", 300_000 / cores), options
+            assert dealt.distinct().count() == 300_000
+        assert spread(spark.read.parquet(path).limit(0), spark, rows_per_task=10).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_checksums_bind_their_text_once(spark):
+    """Each digit of the sum used to repeat the patterns and the translation of the text."""
+    for valid in (national_id_valid, luhn_valid):
+        plan = spark.range(1).select(valid(F.col("id").cast("string")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("translate(") == 1, valid
+
+
+def test_ids_in_lower_case_as_upper_maps_them(spark):
+    texts = ["a123456789", " A123456789　", "ı123456786", "ſ123456785", "ß123456789", "A１２３４５６７８９", "a12345678", "1123456789", None, "K123456789"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.v for r in df.select(national_id_valid(F.col("t")).alias("v")).collect()]
+    plain = df.select(national_id_valid(F.upper("t")).alias("v")).collect()
+    assert got == [r.v for r in plain] and got[:2] == [True, True] and got[5] and not any(got[6:])
