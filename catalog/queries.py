@@ -34,6 +34,7 @@ from piisieve.sources.extract import extension, route_by_extension
 from piisieve.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
+KEYS_PER_TASK = 100_000
 DETECTORS = {d.pii_type: d for d in BUILTIN}
 FINDING_COLUMNS = [
     "pii_type", "matched_value", "confidence_score", "scanner_source", "validation_status",
@@ -49,6 +50,11 @@ def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents", "doc_id", "text")
 
 
+def order_keys(spark, sf_dir):
+    """Each key becomes a text, so no task gets many of them, however the file is cut."""
+    return spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), spark, rows_per_task=KEYS_PER_TASK)
+
+
 def pages(spark, sf_dir):
     return table(spark, sf_dir, "pages", F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
 
@@ -168,7 +174,7 @@ TEMPLATES = {
 
 def template_source(pii_type: str):
     def source(spark, sf_dir):
-        orders = table(spark, sf_dir, "orders", "o_orderkey")
+        orders = order_keys(spark, sf_dir)
         return orders.select(F.col("o_orderkey").alias("doc_id"), TEMPLATES[pii_type]().alias("text"))
 
     return source
@@ -184,7 +190,7 @@ def _all_templates_text() -> Column:
 
 def all_templates(spark, sf_dir):
     """All seven template texts of a key in one text, scanned by all detectors."""
-    orders = table(spark, sf_dir, "orders", "o_orderkey")
+    orders = order_keys(spark, sf_dir)
     texts = orders.select(F.col("o_orderkey").alias("doc_id"), _all_templates_text().alias("text"))
     return scan(texts, keep=["doc_id"])
 
@@ -195,7 +201,7 @@ def all_templates(spark, sf_dir):
 def luhn_flags(spark, sf_dir):
     key = F.col("o_orderkey")
     number = F.concat(F.lit("4"), F.lpad((key * 104729).cast("string"), 14, "0"), (key % 10).cast("string"))
-    orders = table(spark, sf_dir, "orders", "o_orderkey")
+    orders = order_keys(spark, sf_dir)
     return orders.select("o_orderkey", number.alias("number"), luhn_valid(number).alias("valid"))
 
 
@@ -204,7 +210,7 @@ def national_id_flags(spark, sf_dir):
     number = F.concat(
         F.char((key % 26 + 65).cast("int")), (key % 3 + 1).cast("string"), _digits8(key * 7919)
     )
-    orders = table(spark, sf_dir, "orders", "o_orderkey")
+    orders = order_keys(spark, sf_dir)
     return orders.select("o_orderkey", number.alias("number"), national_id_valid(number).alias("valid"))
 
 
@@ -518,7 +524,7 @@ def legacy_text(spark, sf_dir):
     digits = key.cast("string").cast("binary")
     prefix = _branches(3, F.lit("電話 ".encode("big5")), F.lit("丂 ".encode("gbk")), F.lit("é".encode("latin-1")))
     path = F.concat(F.lit("/in/"), key, F.lit(".txt"))
-    orders = table(spark, sf_dir, "orders", "o_orderkey")
+    orders = order_keys(spark, sf_dir)
     return extract_text(_as_files(orders, path, F.concat(prefix, digits))).select("doc_id", "status", "text")
 
 
