@@ -155,7 +155,7 @@ def token_pieces(
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             at, rows = 0, []
-            for texts in sliced(batch.column(1).to_pylist()):
+            for texts in sliced(t.as_py() for t in batch.column(1)):
                 split = [list(pretokenizer.pretokens(t)) for t in texts]
                 distinct = set().union(*(part for parts in split for part in parts if isinstance(part, list)))
                 if len(encoded) + len(distinct) > CACHED_PRETOKENS:

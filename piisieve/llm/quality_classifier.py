@@ -5,7 +5,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,13 +91,18 @@ def _logistic(features: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tu
     return (*map(float, inner), float(beta[-1] - inner @ mean))
 
 
+def _measured(features: _Measure, texts: pa.Array) -> np.ndarray:
+    """The features of each text; one text at a time leaves the Arrow batch, so no batch stands in memory a second time."""
+    return np.array([features(t.as_py()) for t in texts]).reshape(-1, 2)
+
+
 def _features(docs: DataFrame, good, bad) -> DataFrame:
     """docs (id, text) and further columns; text is replaced by the two features."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = _Measure(good, bad)
         for batch in batches:
-            values = np.array([features(t) for t in batch.column("text").to_pylist()]).reshape(-1, 2)
+            values = _measured(features, batch.column("text"))
             names = [n for n in batch.schema.names if n != "text"]
             columns = [batch.column(n) for n in names] + [pa.array(values[:, 0]), pa.array(values[:, 1])]
             yield pa.RecordBatch.from_arrays(columns, [*names, "difference", "rate"])
@@ -158,7 +163,7 @@ def compression_scores(docs: DataFrame, model: CompressionClassifier) -> DataFra
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = _Measure(model.good, model.bad)
         for batch in batches:
-            values = np.array([features(t) for t in batch.column("text").to_pylist()]).reshape(-1, 2)
+            values = _measured(features, batch.column("text"))
             names = [n for n in batch.schema.names if n != "text"]
             columns = [*map(batch.column, names), pa.array(model.scores(values))]
             yield pa.RecordBatch.from_arrays(columns, [*names, "score"])
@@ -166,11 +171,27 @@ def compression_scores(docs: DataFrame, model: CompressionClassifier) -> DataFra
     return docs.mapInArrow(score, _without_text(docs, "score"))
 
 
+def compression_score(text: Column, model: CompressionClassifier) -> Column:
+    """The score of `compression_scores` as a column: only the text goes to Python and only a number comes back."""
+    if not model.weights:
+        return F.lit(model.share)
+
+    @F.arrow_udf(T.DoubleType())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        features = _Measure(model.good, model.bad)
+        for texts in batches:
+            yield pa.array(model.scores(_measured(features, texts)))
+
+    return score(text)
+
+
 def keep_good(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `df`, with all their columns, that a classifier fitted on them and `labels` scores at THRESHOLD or more."""
+    """The rows of `df`, with all their columns, that a classifier fitted on them and `labels` scores at THRESHOLD or more.
+
+    The rows themselves stay in the JVM: sent along, each text would stand in an executor's memory several times more.
+    """
     model = fit_compression_classifier(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels)
-    packed = df.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    return compression_scores(packed, model).where(F.col("score") >= THRESHOLD).select("row.*")
+    return df.where(compression_score(F.col(text_col), model) >= THRESHOLD)
 
 
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -491,6 +491,21 @@ def test_quality_classifier_odd_rows(spark, odd, empty):
     assert classifier.compression_scores(empty.select("doc_id", "text"), model).count() == 0
 
 
+def test_quality_classifier_sends_no_rows_to_python(spark):
+    """Only the text crosses to Python, once, and comes back as a number; the rows kept are those of `compression_scores`."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(17)], "doc_id long, label int")
+    rows = [(i, f"{'ab' if i % 2 else 'xy'} {i} " * 40, i * i) for i in range(17)] + [(None, "ab 1", 5), (3, None, None), (3, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more int")
+    model = classifier.fit_compression_classifier(docs.select("doc_id", "text"), labels)
+    assert model.weights
+    kept = classifier.keep_good(docs, labels)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython [") == 1
+    scores = classifier.compression_scores(docs, model).where(F.col("score") >= classifier.THRESHOLD)
+    assert kept.columns == docs.columns and kept.count() > 0
+    assert sorted(map(str, kept.drop("text").collect())) == sorted(map(str, scores.drop("score").collect()))
+
+
 # ---- Fingerprints ---------------------------------------------------------------------------------
 
 
