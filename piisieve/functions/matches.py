@@ -31,19 +31,41 @@ def start_offsets(text: Column, pattern: Column, wholes: Column) -> Column:
     the text is split by the pattern that found the matches, and the offsets follow by adding up the
     lengths of matches and pieces; a search could stop at an equal string that is no match.
     """
-    each_once = F.forall(
-        wholes, lambda w: F.position(w, text, F.position(w, text) + 1) == 0
-    )
-    searched = F.transform(wholes, lambda w: F.position(w, text) - 1)
-
     def added_up(gaps: Column) -> Column:
         before = exclusive_sums(F.zip_with(gaps, wholes, lambda gap, w: gap + F.length(w)))
         return F.zip_with(before, gaps, lambda n, gap: n + gap)
 
     pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(wholes))
-    return F.when((F.size(wholes) <= FEW_MATCHES) & each_once, searched).otherwise(
-        let(F.transform(pieces, F.length), added_up)
-    )
+    return F.coalesce(searched_offsets(text, wholes), let(F.transform(pieces, F.length), added_up))
+
+
+def searched_offsets(text: Column, values: Column) -> Column:
+    """0-based offset of each value by plain search; NULL for many values, or if one stands in the text twice or is empty."""
+
+    def once(places: Column) -> Column:
+        again = F.zip_with(values, places, lambda v, place: F.position(v, text, place + 2))
+        return F.when(F.forall(again, lambda place: place == 0), places)
+
+    return F.when(F.size(values) <= FEW_MATCHES, let(F.transform(values, lambda v: F.position(v, text) - 1), once))
+
+
+def ends_with_group(pattern: str) -> bool:
+    """Whether the pattern's first group, which must be one that can be placed, is the last thing it matches."""
+    return not around_group(pattern)[3]
+
+
+def group_offsets(text: Column, pattern: str, values: Column) -> Column:
+    """0-based offset of the group of each match, for a pattern that ends with it; `values` are the groups' texts.
+
+    The groups themselves are searched, so the pattern only runs again for the matches around them where that fails.
+    """
+
+    def ends(wholes: Column) -> Column:
+        starts = start_offsets(text, F.lit(pattern), wholes)
+        lengths = F.zip_with(wholes, values, lambda w, v: F.length(w) - F.length(v))
+        return F.zip_with(starts, lengths, lambda start, before: start + before)
+
+    return F.coalesce(searched_offsets(text, values), let(whole_matches(text, pattern), ends))
 
 
 def hits_at(text: Column, pattern: str, wholes: Column, starts: Column, group: int = 0) -> Column:

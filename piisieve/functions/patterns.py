@@ -43,9 +43,9 @@ ADDRESS_TAIL = rf"(?:{DIGIT}{{1,3}}樓)?(?:之{DIGIT}{{1,3}})?(?:{DIGIT}{{1,3}}
 # ---- Patterns ---------------------------------------------------------------------------------------
 
 # Group 1 is the address. A run of local-part characters is entered at its start (or where the last
-# match ended), cut to its first word boundary once, and must then reach the @ in one go.
+# match ended) if an @ follows it at all, cut to its first word boundary once, and must then reach the @ in one go.
 EMAIL = (
-    rf"(?:(?<![{EMAIL_LOCAL}])|\G)(?>[{EMAIL_LOCAL}]*?{BOUNDARY})"
+    rf"(?:(?<![{EMAIL_LOCAL}])|\G)(?=[{EMAIL_LOCAL}]++@)(?>[{EMAIL_LOCAL}]*?{BOUNDARY})"
     rf"([{EMAIL_LOCAL}]++@[{EMAIL_DOMAIN}]+\.[{ANY_CASE_LETTER}]{{2,}}{BOUNDARY})"
 )
 

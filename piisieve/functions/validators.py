@@ -51,7 +51,9 @@ def is_not_blank(text: Column) -> Column:
 
 def luhn_valid(text: Column) -> Column:
     """13 to 19 digits, other characters aside, that pass the Luhn check; false for NULL."""
-    digits = ascii_digits(F.regexp_replace(text, rf"[^{DIGIT}]", ""))
+    digits = let(
+        F.regexp_replace(text, rf"[^{DIGIT}]", ""), lambda d: F.when(d.rlike(r"^[0-9]*\z"), d).otherwise(ascii_digits(d))
+    )
     valid = let(digits, lambda d: F.length(d).between(*LUHN_LENGTHS) & F.call_function("luhn_check", d))
     return F.coalesce(valid, F.lit(False))
 
@@ -78,5 +80,9 @@ def national_id_valid(text: Column) -> Column:
         return F.when(number.rlike(r"^[A-Z][12][0-9]{8}\z"), let(F.concat(code, F.substring(number, 2, 9)), divisible))
 
     digits, plain = _digit_table()
-    number = F.translate(strip(text), digits + _LOWER, plain + _UPPER)
-    return F.coalesce(let(number, checked), F.lit(False))
+
+    def number(of: Column) -> Column:
+        folded = F.translate(strip(of), digits + _LOWER, plain + _UPPER)
+        return F.when(of.rlike(r"^[A-Z][12][0-9]{8}\z"), of).otherwise(folded)
+
+    return F.coalesce(let(let(text, number), checked), F.lit(False))

@@ -5,7 +5,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.matches import HITS_TYPE, LONG_TEXT, context_window, start_offsets, text_blocks
+from ..functions.matches import HITS_TYPE, LONG_TEXT, context_window, group_offsets, start_offsets, text_blocks
 from ..schema import FINDING_STRUCT
 from .detector import Detector, PythonDetector, RuleDetector, finding_fields, no_findings
 from .registry import default_registry
@@ -34,13 +34,19 @@ def _all_starts(text: Column, detectors: Sequence[tuple[RuleDetector, Column]])
     """For each detector the offsets of its matches, NULL where it has none."""
     if not detectors:
         return F.lit(None)
+    none = F.lit(None).cast("array<int>")
     matched = [
-        F.struct(wholes.alias("wholes"), F.lit(d.pattern).alias("pattern")) for d, wholes in detectors
+        F.struct(
+            F.when(F.lit(not d.takes_ends), found).alias("wholes"),
+            F.lit(d.pattern).alias("pattern"),
+            (F.when(F.size(found) > 0, group_offsets(text, d.pattern, found)) if d.takes_ends else none).alias("placed"),
+        )
+        for d, found in detectors
     ]
     return F.transform(
         F.array(*matched),
-        lambda m: F.when(
-            F.size(m["wholes"]) > 0, start_offsets(text, m["pattern"], m["wholes"])
+        lambda m: F.coalesce(
+            m["placed"], F.when(F.size(m["wholes"]) > 0, start_offsets(text, m["pattern"], m["wholes"]))
         ),
     )
 

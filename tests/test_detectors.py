@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from piisieve import RuleDetector, scan
 from piisieve.functions.matches import find_matches
 from piisieve.functions.validators import luhn_valid, national_id_valid
+from piisieve.operators.builtin import EMAIL
 from piisieve.sources.tables import spread
 
 CASES = {
@@ -245,3 +246,20 @@ def test_ids_in_lower_case_as_upper_maps_them(spark):
     got = [r.v for r in df.select(national_id_valid(F.col("t")).alias("v")).collect()]
     plain = df.select(national_id_valid(F.upper("t")).alias("v")).collect()
     assert got == [r.v for r in plain] and got[:2] == [True, True] and got[5] and not any(got[6:])
+
+
+def test_groups_are_placed_without_running_their_pattern_again(spark):
+    """Groups are found at once and searched; equal ones and those inside others are placed by the matches around them."""
+    detectors = ["RegexEmailScanner", "RegexAddressScanner"]
+    texts = ["信箱u.1@example.com a@b.org 地址：台北市中正區重慶南路1號", "a@b.org;xa@b.org;a@b.org 中山路1號，中山路1號", "-a@b.org+a@b.org", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = scan(df, keep=["doc_id"], detectors=detectors)
+    assert sorted((r.doc_id, r.start_pos, r.matched_value) for r in got.collect()) == [
+        (0, 3, ".1@example.com"), (0, 18, "a@b.org"), (0, 29, "台北市中正區重慶南路1號"),
+        (1, 0, "a@b.org"), (1, 8, "xa@b.org"), (1, 17, "a@b.org"), (1, 25, "中山路1號"), (1, 31, "中山路1號"),
+        (2, 1, "a@b.org"), (2, 8, "+a@b.org"),
+    ]
+    for row in got.where("doc_id is not null").collect():
+        assert texts[row.doc_id][row.start_pos :].startswith(row.matched_value)
+    found = df.select(EMAIL.candidates(F.col("text")).alias("c")).collect()
+    assert found[0].c == [".1@example.com", "a@b.org"]  # the groups themselves, not the matches around them
