@@ -49,6 +49,45 @@ def searched_offsets(text: Column, values: Column) -> Column:
     return F.when(F.size(values) <= FEW_MATCHES, let(F.transform(values, lambda v: F.position(v, text) - 1), once))
 
 
+def one_or_two(values: Column) -> Column:
+    return F.size(values).between(1, 2)
+
+
+def first_places(text: Column, values: Column) -> tuple[Column, Column]:
+    """1-based places where the first and the second of at most two values first stand in the text; else NULL."""
+    n = F.size(values)
+    return (
+        F.when(one_or_two(values), F.position(F.get(values, F.lit(0)), text)),
+        F.when(n == 2, F.position(F.get(values, F.lit(1)), text)),
+    )
+
+
+def unique_offsets(text: Column, values: Column, first: Column, second: Column) -> Column:
+    """`searched_offsets` of one or two values from their `first_places`, as generated code; NULL for any other number.
+
+    Most texts with a match hold one or two, and lambdas, which are interpreted, cost more there than the search itself.
+    """
+
+    def once(place: Column, at: int) -> Column:
+        return F.position(F.get(values, F.lit(at)), text, place + 1) == 0
+
+    n = F.size(values)
+    return F.when((n == 1) & once(first, 0), F.array(first - 1)).when(
+        (n == 2) & once(first, 0) & once(second, 1), F.array(first - 1, second - 1)
+    )
+
+
+def split_offsets(text: Column, pattern: str, wholes: Column) -> Column:
+    """0-based offsets of one or two whole matches from the pieces around them; NULL for any other number."""
+
+    def before(pieces: Column) -> Column:
+        start = F.length(F.get(pieces, F.lit(0)))
+        after = start + F.length(F.get(wholes, F.lit(0))) + F.length(F.get(pieces, F.lit(1)))
+        return F.when(F.size(wholes) == 1, F.array(start)).otherwise(F.array(start, after))
+
+    return F.when(one_or_two(wholes), let(F.split(text, pattern, -1), before))
+
+
 def ends_with_group(pattern: str) -> bool:
     """Whether the pattern's first group, which must be one that can be placed, is the last thing it matches."""
     return not around_group(pattern)[3]

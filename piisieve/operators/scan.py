@@ -5,12 +5,15 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.matches import HITS_TYPE, LONG_TEXT, context_window, group_offsets, start_offsets, text_blocks
+from ..functions.matches import (
+    HITS_TYPE, LONG_TEXT, context_window, first_places, group_offsets, split_offsets, start_offsets, text_blocks, unique_offsets,
+)
 from ..schema import FINDING_STRUCT
 from .detector import Detector, PythonDetector, RuleDetector, finding_fields, no_findings
 from .registry import default_registry
 
 _CANDIDATES = "_candidates_"
+_FIRST, _SECOND, _PLACED = "_first_", "_second_", "_placed_"
 _STARTS = "_starts"
 _BLOCKS = "_text_blocks"
 _RULE, _HITS, _VALUE, _START, _CONTEXT = "_rule", "_hits", "_value", "_start", "_context"
@@ -51,10 +54,18 @@ def _all_starts(text: Column, detectors: Sequence[tuple[RuleDetector, Column]])
     )
 
 
+def _placed(text: Column, detector: RuleDetector, found: Column, first: Column, second: Column) -> Column:
+    """The offsets of one or two matches; NULL for any other number and for groups that a search cannot place."""
+    unique = unique_offsets(text, found, first, second)
+    return unique if detector.takes_ends else F.coalesce(unique, split_offsets(text, detector.pattern, found))
+
+
 def _measured(df: DataFrame, text: Column, chosen: Sequence[Detector]) -> tuple[DataFrame, list[Column], list[Column | None]]:
     """df with what each detector found, the offsets and the text in blocks; the first two per detector as columns.
 
-    The projections stay apart in the plan because each column of one is used several times in the next.
+    One or two matches of a detector, which most texts with any hold, are placed by plain columns; only the detectors with
+    more, or with groups that the search cannot place, go through `_all_starts`. The projections stay apart in the plan because
+    each column of one is used several times in the next.
     """
     columns = [F.col(f"{_CANDIDATES}{i}") for i in range(len(chosen))]
     searched = df.select(
@@ -64,13 +75,27 @@ def _measured(df: DataFrame, text: Column, chosen: Sequence[Detector]) -> tuple[
     any_found = F.lit(False)
     for column in columns:
         any_found = any_found | (F.coalesce(F.size(column), F.lit(0)) > 0)
-    measured = searched.withColumns(
-        {
-            _STARTS: _all_starts(text, by_pattern),
-            _BLOCKS: F.when(any_found & (F.length(text) > LONG_TEXT), text_blocks(text)),
-        }
+    looked_up, few = {}, {}
+    for i, (d, c) in enumerate(by_pattern):
+        first, second = f"{_FIRST}{i}", f"{_SECOND}{i}"
+        looked_up[first], looked_up[second] = first_places(text, c)
+        few[f"{_PLACED}{i}"] = _placed(text, d, c, F.col(first), F.col(second))
+    placed = [F.col(name) for name in few]
+    rest = [(d, F.when(p.isNull(), c)) for (d, c), p in zip(by_pattern, placed, strict=True)]
+    left = F.lit(False)
+    for _, found in rest:
+        left = left | (F.coalesce(F.size(found), F.lit(0)) > 0)
+    measured = (
+        searched.withColumns(looked_up)
+        .withColumns(few)
+        .withColumns(
+            {
+                _STARTS: F.when(left, _all_starts(text, rest)),
+                _BLOCKS: F.when(any_found & (F.length(text) > LONG_TEXT), text_blocks(text)),
+            }
+        )
     )
-    places = {d.name: F.get(F.col(_STARTS), F.lit(i)) for i, (d, _) in enumerate(by_pattern)}
+    places = {d.name: F.coalesce(placed[i], F.get(F.col(_STARTS), F.lit(i))) for i, (d, _) in enumerate(by_pattern)}
     return measured, columns, [places.get(d.name) for d in chosen]
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from piisieve import RuleDetector, scan
+from piisieve.functions import matches
 from piisieve.functions.matches import find_matches
 from piisieve.functions.validators import luhn_valid, national_id_valid
 from piisieve.operators.builtin import EMAIL
@@ -263,3 +264,23 @@ def test_groups_are_placed_without_running_their_pattern_again(spark):
         assert texts[row.doc_id][row.start_pos :].startswith(row.matched_value)
     found = df.select(EMAIL.candidates(F.col("text")).alias("c")).collect()
     assert found[0].c == [".1@example.com", "a@b.org"]  # the groups themselves, not the matches around them
+
+
+def test_one_or_two_matches_are_placed_by_plain_columns(spark):
+    """Lambdas are interpreted, per text and detector; a search that stops at an equal string which is no match is not taken."""
+    texts = ["護照 000651749 a", "健保卡 000000651749 護照 000651749 H261200331", "123456789 123456789", "1 2 3 4", "none", None]
+    expected = [[3], [20, 31], [0, 10], None, None, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    text, found, first, second = (F.col(c) for c in ("text", "found", "first", "second"))
+    pattern = r"(?<!\d)\d(?:\d{8})?(?!\d)"
+    df = df.withColumn("found", matches.whole_matches(text, pattern))
+    places = matches.first_places(text, found)
+    unique = df.select("i", "text", "found", places[0].alias("first"), places[1].alias("second")).select(
+        "i", "text", "found", matches.unique_offsets(text, found, first, second).alias("unique")
+    )
+    assert "lambda" not in unique._jdf.queryExecution().optimizedPlan().toString()
+    rows = unique.select("unique", matches.split_offsets(text, pattern, found).alias("split")).orderBy("i").collect()
+    assert [r.split for r in rows] == expected
+    assert [r.unique for r in rows] == [[3], None, None, None, None, None]
+    passports = scan(df.withColumnRenamed("i", "doc_id"), keep=["doc_id"], detectors=["RegexPassportScanner"]).collect()
+    assert sorted((r.doc_id, r.start_pos) for r in passports) == [(0, 3), (1, 20), (1, 31), (2, 0), (2, 10)]
