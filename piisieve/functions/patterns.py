@@ -97,7 +97,6 @@ ADDRESS = (
 # Every number the detectors look for has nine digits or more, with at most two other characters
 # between neighbours (a closing bracket and a separator, in phone numbers).
 NUMBER_GUARD = rf"{DIGIT}(?:[^{DIGIT}]{{0,2}}+{DIGIT}){{8}}"
-CARD_GUARD = rf"{DIGIT}(?:[ -]?+{DIGIT}){{12}}"
 NATIONAL_ID_GUARD = rf"[A-Z][12]{DIGIT}{{8}}"
 HEALTH_INSURANCE_GUARD = rf"{DIGIT}{{12}}"
 PASSPORT_GUARD = rf"{DIGIT}{{9}}"
